@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, contraction, mixture
+from quillmesh.llm import bpe, confusables, contraction, mixture, survivors
 from quillmesh.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,26 @@ SELECT a AS record_id, min(b) AS group_id FROM reach GROUP BY a
 """
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = confusables.look_alikes(load(spark, folder, "authors"), "author_id", "name")
+    titles = confusables.look_alikes(load(spark, folder, "extracted_references"), "reference_key", "title")
+    return names.select(F.lit("author_name").alias("field_name"), F.col("author_id").alias("row_id")).unionAll(
+        titles.select(F.lit("reference_title").alias("field_name"), F.col("reference_key").alias("row_id"))
+    )
+
+
+def _family_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [load(spark, folder, t) for t in ("papers", "source_records", "identifier_claims", "providers")]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.contested(*_family_tables(spark, folder))
+
+
+def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.survivors(*_family_tables(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(load(spark, folder, "documents"))
 
@@ -50,7 +70,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
