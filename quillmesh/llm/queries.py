@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, confusables, contraction, mixture, survivors
+from quillmesh.llm import bpe, confusables, contraction, mixture, reading, survivors
 from quillmesh.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,9 +69,29 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(mixed, plan).withColumn("actual_share", F.round("actual_share", 9))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(load(spark, folder, "documents"), load(spark, folder, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.profile(load(spark, folder, "documents")).select("doc_id", *[F.round(c, 9).alias(c) for c in ("unfamiliar_share", "mean_sentence", "score")])
+
+
+P9_PROFILE_SQL = r"""
+WITH t AS (SELECT doc_id, lower(text) AS x FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''),
+w AS (SELECT doc_id, unnest(regexp_extract_all(x, '\p{L}+')) AS w FROM t),
+f AS (SELECT w FROM w GROUP BY w HAVING count(DISTINCT doc_id) >= greatest(1, 0.002 * (SELECT count(*) FROM t))),
+n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE w NOT IN (SELECT w FROM f)) AS odd FROM w GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(s, '\p{L}')) AS s FROM (SELECT doc_id, unnest(regexp_split_to_array(x, '[.!?;。！？]+|\n\s*\n')) AS s FROM t) GROUP BY doc_id)
+SELECT t.doc_id, round(coalesce(odd / n, 0.0), 9) AS unfamiliar_share, round(coalesce(n / s, 0.0), 9) AS mean_sentence,
+       round(coalesce(15.79 * odd / n + 0.0496 * n / s, 0.0), 9) AS score
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p3_found": P3_SQL, "p9_profile": P9_PROFILE_SQL}
