@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, confusables, contraction, mixture, reading, survivors
+from quillmesh.llm import bpe, confusables, contraction, mixture, reading, scans, survivors
 from quillmesh.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noise(
+        [
+            ("raw_text", load(spark, folder, "extracted_references"), "reference_key", "raw_text"),
+            ("context_text", load(spark, folder, "citation_contexts"), "context_id", "text"),
+        ]
+    )
+
+
+def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired(load(spark, folder, "citation_contexts"), "context_id", "text")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     links = contraction.merge_links(load(spark, folder, "identity_events"))
     return contraction.linked_groups(links, "left_record_id", "right_record_id")
@@ -90,7 +103,7 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+    return {"p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 
 
 def oracle_sql() -> dict[str, str]:
