@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, confusables, contraction, mixture, reading, scans, survivors
+from quillmesh.llm import bpe, confusables, contraction, mixture, reading, scans, survivors, variants
 from quillmesh.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variant_pairs(load(spark, folder, "authors"), load(spark, folder, "papers"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.noise(
         [
@@ -103,7 +107,7 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 
 
 def oracle_sql() -> dict[str, str]:
