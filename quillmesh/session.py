@@ -37,11 +37,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
-    Python functions of the package are pickled by reference, so a cluster
-    whose nodes don't have it installed needs a copy.
+    Python functions of the package are pickled by reference, so workers that
+    don't have it on their path need a copy.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
