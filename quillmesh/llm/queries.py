@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, confusables, contraction, mixture, reading, scans, survivors, variants
+from quillmesh.llm import bpe, citations, confusables, contraction, mixture, reading, scans, survivors, variants
 from quillmesh.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,18 @@ SELECT a AS record_id, min(b) AS group_id FROM reach GROUP BY a
 """
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cited(spark, folder).select("reference_key", "record_id")
+
+
+def p4_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return _cited(spark, folder).withColumn("confidence", F.round("confidence", 6))
+
+
+def _cited(spark: SparkSession, folder: str) -> DataFrame:
+    return citations.matches(load(spark, folder, "extracted_references"), load(spark, folder, "papers"), load(spark, folder, "authors"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     names = confusables.look_alikes(load(spark, folder, "authors"), "author_id", "name")
     titles = confusables.look_alikes(load(spark, folder, "extracted_references"), "reference_key", "title")
@@ -107,7 +119,7 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 
 
 def oracle_sql() -> dict[str, str]:
