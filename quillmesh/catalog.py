@@ -2,49 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillmesh.session import load
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name``, with the SQL that must give the same rows."""
-
-    def add(f: Query) -> Query:
-        _queries[name] = f
-        if sql is not None:
-            _sql[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "co_citation",
-    """SELECT a.object_record_id AS left_id, b.object_record_id AS right_id, count(*) AS shared
-       FROM (SELECT DISTINCT subject_record_id, object_record_id FROM citation_assertions WHERE subject_record_id <> object_record_id) a
-       JOIN (SELECT DISTINCT subject_record_id, object_record_id FROM citation_assertions WHERE subject_record_id <> object_record_id) b
-         ON a.subject_record_id = b.subject_record_id AND a.object_record_id < b.object_record_id
-       GROUP BY 1, 2""",
-)
-def co_citation(spark: SparkSession, folder: str) -> DataFrame:
-    c = load(spark, folder, "citation_assertions")
-    e = c.where("subject_record_id <> object_record_id").select("subject_record_id", "object_record_id").distinct()
-    a = e.withColumnRenamed("object_record_id", "left_id")
-    b = e.withColumnRenamed("object_record_id", "right_id")
-    return a.join(b, "subject_record_id").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+from quillmesh.plans import audits, evaluations, graphs, identities, references, searches  # noqa: F401
+from quillmesh.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)
