@@ -56,9 +56,11 @@ def pagerank(edges: DataFrame, rounds: int = 50, d: float = 0.85) -> DataFrame:
     state = cut(loose.withColumn("r", F.lit(1.0 / n)), "ranks")
     for k in range(rounds):
         lost = state.where("dangling").agg(F.sum("r")).first()[0] or 0.0
-        got = links.join(state.select("id", "r"), "id").groupBy(F.col("cited").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("g"))
         base = (1 - d) / n + d * lost / n
-        state = state.select("id", "dangling").join(got, "id", "left").select("id", "dangling", (F.lit(base) + F.lit(d) * F.coalesce("g", F.lit(0.0))).alias("r"))
+        # every vertex takes part with nothing, so vertices without citation stay
+        flow = links.join(state.select("id", "r"), "id").select(F.col("cited").alias("id"), F.lit(False).alias("dangling"), (F.col("r") * F.col("w")).alias("g"))
+        got = flow.unionAll(state.select("id", "dangling", F.lit(0.0))).groupBy("id").agg(F.max("dangling").alias("dangling"), F.sum("g").alias("g"))
+        state = got.select("id", "dangling", (F.lit(base) + F.lit(d) * F.col("g")).alias("r"))
         seen = Observation()  # the mass of dangling vertices is summed while the round is written
         state = cut(state.observe(seen, F.sum(F.when(F.col("dangling"), F.col("r"))).alias("lost")), "ranks")
         lost = seen.get["lost"] or 0.0
