@@ -17,6 +17,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ ROUNDS = 8
 UNFAMILIAR_WEIGHT, LENGTH_WEIGHT = 0.1579, 0.0496
 
 _SENTENCE = re.compile(r"[.!?;。！？]+|\n\s*\n")
-_WORD = re.compile(r"[^\W\d_]+")
-WORD_PATTERN = r"\p{L}+"
+WORD_PATTERN = r"\p{L}+"  # the same here and on the JVM
+_WORD = regex.compile(WORD_PATTERN)
 
 
 def familiar_words(documents: DataFrame, share: float = FAMILIAR_SHARE) -> list[str]:
