@@ -39,32 +39,56 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("record_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 50, d: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 50, d: float = 0.85, batch: int = 5) -> DataFrame:
     """``record_id, score`` after exactly ``rounds`` rounds from a uniform start; what dangling vertices hold is spread over all.
 
-    Edges carry their share once and are written hashed by their source; the
-    sums are pre-aggregated, so a hub costs its partition one row per partition.
+    A round is ``r' = b + d A r`` with a constant ``b`` that depends on the
+    dangling mass. So every ``r`` is a sum of the vectors ``(d A)^j 1`` whose
+    weights follow from their dangling sums alone. These vectors need no
+    number from the driver between rounds: ``batch`` of them are made by one
+    job, which carries them along as columns and sums their dangling part as
+    it is written. The weights are worked out at the end. Sums are
+    pre-aggregated, so a hub costs a partition one row per partition.
     """
     e = edges.select("citing", "cited").distinct()
     nodes = cut(e.select(F.col("citing").alias("id")).union(e.select("cited")).distinct(), "nodes")
-    out = e.groupBy("citing").agg(F.count("*").alias("out"))
-    links = cut(e.join(out, "citing").select(F.col("citing").alias("id"), "cited", (F.lit(1.0) / F.col("out")).alias("w")), "links")
-    loose = nodes.join(out.withColumnRenamed("citing", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"))
     n = nodes.count()
     if not n:
         return nodes.select(F.col("id").alias("record_id"), F.lit(0.0).alias("score"))
-    state = cut(loose.withColumn("r", F.lit(1.0 / n)), "ranks")
-    for k in range(rounds):
-        lost = state.where("dangling").agg(F.sum("r")).first()[0] or 0.0
-        base = (1 - d) / n + d * lost / n
-        # every vertex takes part with nothing, so vertices without citation stay
-        flow = links.join(state.select("id", "r"), "id").select(F.col("cited").alias("id"), F.lit(False).alias("dangling"), (F.col("r") * F.col("w")).alias("g"))
-        got = flow.unionAll(state.select("id", "dangling", F.lit(0.0))).groupBy("id").agg(F.max("dangling").alias("dangling"), F.sum("g").alias("g"))
-        state = got.select("id", "dangling", (F.lit(base) + F.lit(d) * F.col("g")).alias("r"))
-        seen = Observation()  # the mass of dangling vertices is summed while the round is written
-        state = cut(state.observe(seen, F.sum(F.when(F.col("dangling"), F.col("r"))).alias("lost")), "ranks")
-        lost = seen.get["lost"] or 0.0
-    return state.select(F.col("id").alias("record_id"), F.col("r").alias("score"))
+    out = e.groupBy("citing").agg(F.count("*").alias("out"))
+    flow = e.join(out, "citing").select(F.col("citing").alias("id"), F.col("cited").alias("to"), (F.lit(d) / F.col("out")).alias("w"), F.lit(False).alias("own"))
+    # a way from each vertex to itself hands its columns on
+    links = cut(flow.unionAll(nodes.select("id", "id", F.lit(0.0), F.lit(True))), "links")
+    state = cut(nodes.join(out.withColumnRenamed("citing", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0).alias("x")), "ranks")
+    sums = [float(state.where("dangling").count())]
+    made: list[DataFrame] = []
+    while len(sums) <= rounds:
+        size = min(batch, rounds + 1 - len(sums))
+        cols: list[str] = []
+        for k in range(size):
+            new = f"x{k}"
+            handed = ["dangling", *cols]
+            step = state.join(links, "id").select(F.col("to").alias("id"), (F.col("x") * F.col("w")).alias("f"), *[F.when(F.col("own"), F.col(c)).alias(c) for c in handed])
+            state = step.groupBy("id").agg(*[F.max(c).alias(c) for c in handed], F.sum("f").alias(new)).withColumn("x", F.col(new))
+            cols.append(new)
+        seen = Observation()
+        done = state.drop("x").observe(seen, *[F.sum(F.when(F.col("dangling"), F.col(c)).otherwise(0.0)).alias(c) for c in cols])
+        done = cut(done, "ranks")
+        sums += [seen.get[c] or 0.0 for c in cols]
+        made.append(done)
+        state = done.select("id", "dangling", F.col(cols[-1]).alias("x"))
+    base: list[float] = []
+    for i in range(rounds):
+        lost = sums[i] / n + sum(base[m] * sums[i - 1 - m] for m in range(i))
+        base.append((1 - d) / n + d * lost / n)
+    weight = [base[rounds - 1 - j] for j in range(rounds)] + [1.0 / n]
+    total = nodes.select("id", F.lit(weight[0]).alias("r"))
+    at = 1
+    for part in made:
+        xs = [c for c in part.columns if c.startswith("x")]
+        total = total.unionAll(part.select("id", sum((F.col(c) * F.lit(weight[at + k]) for k, c in enumerate(xs)), F.lit(0.0)).alias("r")))
+        at += len(xs)
+    return total.groupBy(F.col("id").alias("record_id")).agg(F.sum("r").alias("score"))
 
 
 @dataclass
