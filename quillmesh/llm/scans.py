@@ -2,7 +2,9 @@
 
 Words of the corpus are counted; the frequent ones get skip-gram vectors. A
 rare word is linked to known words that a plausible misreading of its glyphs
-explains, and the one that suits the words around it is taken. Before that,
+explains, and the one that suits the words around it is taken. Rare is what is
+unknown, or many times rarer than such a neighbour: misreadings of common words
+repeat, the more the larger the corpus. Before that,
 running headers and page numbers are removed and words cut at line ends are
 joined; afterwards the lines are reflowed.
 """
@@ -27,6 +29,10 @@ VECTOR_SHARE, NOUN_SHARE = 5e-4, 3e-3
 VECTOR_SIZE, WINDOW = 24, 4
 #: Cosine to the surroundings under which a correction by letters alone is rejected, and what it weighs against the logarithm of frequency.
 LEAST_FIT, FIT_WEIGHT = -0.35, 4.0
+#: A known word is looked at if a misreading explains it by a word this many times as frequent.
+TIMES = 20
+#: By how much the known word's own cosine to the surroundings may exceed that of its correction; its vector counts from OWN_COUNT occurrences.
+OWN_MARGIN, OWN_COUNT = 0.2, 50
 #: Glyphs and what they are read as.
 MISREADINGS = "e>c c>e a>o o>a i>1 l>1 s>5 o>0 t>f f>t h>b b>h b>6 g>9 v>y y>v n>ri m>rn u>ii d>cl w>vv i>l l>i I>l z>2 q>g S>5 B>8 O>0 ii>u rn>m ri>n cl>d vv>w u>v n>u u>n li>h h>li l>| I>| i>| in>m"
 HYPHENS = "-‐¬­"
@@ -60,6 +66,7 @@ class Vocabulary:
         for pair in MISREADINGS.split():
             meant, read = pair.split(">")
             self.back.setdefault(read, []).append(meant)
+        self.memo: dict[str, list[str]] = {}
 
     def count(self, word: str) -> int:
         return sum(self.words.get(word.lower(), (0, 0)))
@@ -72,6 +79,16 @@ class Vocabulary:
             known = [v for w in found for v in self._step(w) if self._suits(v, word)]
         return sorted(set(known))
 
+    def options(self, word: str) -> list[str]:
+        """``meant``; for a known word only those that are TIMES as frequent, in capitalised use too if it is capitalised."""
+        own = self.count(word)
+        if not own:
+            return self.meant(word)
+        if word not in self.memo:
+            cap = self.words[word.lower()][1] if word[:1].isupper() else 0
+            self.memo[word] = [m for m in self.meant(word) if self.count(m) >= TIMES * own and self.words[m.lower()][1] >= TIMES * cap]
+        return self.memo[word]
+
     def _step(self, word: str) -> set[str]:
         out = set()
         for i in range(len(word)):
@@ -190,17 +207,20 @@ def repair(text: str, v: Vocabulary) -> tuple[str, list[str]]:
     pieces, at = [], 0
     for k, t in enumerate(tokens):
         w = words[k]
-        if len(w) < 3 or v.count(w) or w.isdigit():
+        if len(w) < 3 or w.isdigit():
             continue
-        options = v.meant(w)
+        options = v.options(w)
         if not options:
             continue
         around = _context(words, k, v)
         digits = any(c.isdigit() for c in w)
+        least = LEAST_FIT
+        if v.count(w) >= OWN_COUNT and around is not None and w.lower() in v.vectors:
+            least = max(least, float(v.vectors[w.lower()] @ around) - OWN_MARGIN)
         best, top = None, -1e9
         for o in options:
             fit = float(v.vectors[o.lower()] @ around) if around is not None and o.lower() in v.vectors else 0.0
-            if not digits and fit < LEAST_FIT:
+            if not digits and fit < least:
                 continue
             score = np.log(v.count(o)) + FIT_WEIGHT * fit + 0.01 * o.islower()
             if score > top:

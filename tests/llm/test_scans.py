@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from quillmesh.llm import scans
@@ -55,3 +56,21 @@ def test_learned_from_the_corpus(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert scans.repaired(df, "id", "text").collect() == []
+
+
+def test_a_repeated_misreading_is_judged_by_its_neighbour():
+    x, y = np.eye(2, dtype=np.float32)
+    words = {"under": (9000, 40), "undcr": (90, 0), "can": (9000, 0), "con": (200, 0), "the": (9000, 0), "muchas": (300, 0), "farms": (300, 0), "forms": (60, 0), "harm": (9000, 0), "harrn": (0, 30), "conditions": (9000, 0)}
+    vectors = {"under": x, "undcr": x, "can": x, "con": y, "the": x, "conditions": x, "muchas": y}
+    v = scans.Vocabulary(words, {}, {}, vectors, 9000)
+    assert scans.repair("the test undcr conditions", v) == ("the test under conditions", ["misread"])
+    # a word that suits its surroundings, one whose neighbour is hardly more frequent, and a name
+    for text in ("muchas con muchas", "the forms conditions", "C. Harrn, 2019"):
+        assert scans.repair(text, v) == (text, [])
+
+
+def test_a_repeated_misreading_in_a_larger_corpus(spark):
+    good = "the density of the model depends on the accuracy of the sample"
+    rows = [(str(k), good if k % 50 else good.replace("density", "dcnsity")) for k in range(600)]
+    found = scans.noise([("t", spark.createDataFrame(rows, "id string, text string"), "id", "text")])
+    assert sorted((r.row_id, r.kind) for r in found.collect()) == sorted((str(k), "misread") for k in range(0, 600, 50))
