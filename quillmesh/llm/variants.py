@@ -1,6 +1,8 @@
 """Links between the rows of one author who appears under several spellings.
 
-Names are cut into tokens; a symmetric-delete index (tokens that agree after
+Organisations are the spellings whose place and whose subject words align by an
+optimal assignment that allows for slips and shortened words. Other
+names are cut into tokens; a symmetric-delete index (tokens that agree after
 one letter is removed from each) finds the family names that a slip could
 have turned into each other. Tokens of a name are then assigned to their
 roles: family name, given name, initials, so that an initial or a short form
@@ -26,6 +28,7 @@ from quillmesh.functions.skew import lookup_join
 from quillmesh.llm.confusables import own_form
 from quillmesh.llm.contraction import linked_groups
 from quillmesh.llm.names import BODIES, WORD, fold, is_body, parse
+from quillmesh.operators.evaluation import assignment
 from quillmesh.session import cut, ship
 
 #: Authors this many places away in one author list are neighbours.
@@ -38,12 +41,39 @@ PART_ROWS = 1_000
 FILL = frozenset("for of the f and on in".split())
 
 
-def _body_parts(name: str) -> tuple[list[str], str]:
-    """Distinctive words of an organisation's name (those not shortened), and the letters its subject words begin with."""
-    typed = [w for w in WORD.findall(own_form(name)) if w.casefold() not in BODIES and w.casefold() not in FILL and not (w.isupper() and len(w) <= 5)]
-    words = [fold(w) for w in typed]
-    place = max(words, key=len, default="")
-    return ([place] if place else []), ""
+def _body(name: str) -> bool:
+    """Is this the name of an organisation, be it that the word for it has a slip?"""
+    words = [w.casefold() for w in WORD.findall(own_form(name))]
+    return is_body(name) or len(words) >= 4 and any(_kind(w) for w in words)
+
+
+def _kind(word: str) -> bool:
+    return word in BODIES or len(word) >= 7 and any(len(k) >= 8 and _one_slip(word, k) for k in BODIES)
+
+
+def _body_parts(name: str) -> tuple[list[str], list[str]]:
+    """The place (a list of one word, or none) and the subject words of an organisation's name, both as typed or shortened.
+
+    The place stands after a comma, before the word for the kind of
+    organisation, first where that word is last, or else last.
+    """
+    text = own_form(name)
+    typed = [(w, side) for side, x in enumerate(text.split(",")) for w in WORD.findall(x)]
+    typed = [(w, side) for w, side in typed if not (w.casefold() in FILL or len(w) <= 4 and (_one_slip(w.casefold(), "for") or _one_slip(w.casefold(), "the")) or (w.isupper() and len(w) <= 5 and not text.isupper()))]
+    kinds = [k for k, (w, _) in enumerate(typed) if _kind(w.casefold())]
+    rest = [k for k in range(len(typed)) if k not in kinds]
+    if not rest:
+        return [], []
+    after = [k for k in rest if typed[k][1] > 0]
+    before = [k for k in rest if kinds and k < kinds[0]]
+    if after and len(after) < len(rest):
+        among = after
+    elif before and len(before) < len(rest):
+        among = before
+    else:
+        among = rest[:1] if before else rest[-1:]
+    place = max(among, key=lambda k: len(typed[k][0]))
+    return [fold(typed[place][0])], [f for k in rest if k != place and (f := fold(typed[k][0]))]
 
 
 def _parse(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -52,8 +82,8 @@ def _parse(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for n in part.tolist():
             if not n or not n.strip():
                 rows.append((False, [], [], ""))
-            elif is_body(n):
-                rows.append((True, _body_parts(n)[0], [], ""))
+            elif _body(n):
+                rows.append((True, *_body_parts(n), ""))
             else:
                 rows.append((False, *parse(n)))
         yield pd.DataFrame(rows, columns=["body", "long", "family", "initials"])
@@ -126,7 +156,7 @@ def _roles(given: frozenset[str]):
             for b, ts, fam, ini in zip(body, long_, family, initials, strict=True):
                 ts, fam = list(ts), list(fam)
                 if b:
-                    out.append([(t, "#", "#", "") for t in ts])
+                    out.append([(" ".join([*ts, *fam]), "#", "#", "")] if ts else [])
                     continue
                 firsts = [] if not fam and len(ts) == 1 else [(t, known(t)) for t in ts if t not in fam]
                 firsts = [(t, g) for t, g in firsts if g]
@@ -160,7 +190,48 @@ def _roles(given: frozenset[str]):
 def roles(rows: DataFrame, given: list[str]) -> DataFrame:
     """``id, s, g, i, m``: each reading of a row's name as family name, given name (null if only initialled), first and middle initial."""
     take = F.pandas_udf(_roles(frozenset(given)), "array<struct<s:string,g:string,i:string,m:string>>")
-    return rows.withColumn("r", F.explode(take("body", "long", "family", "initials"))).select("id", "record_id", "pos", "orcid", "body", "r.*")
+    return rows.withColumn("r", F.explode(take("body", "long", "family", "initials"))).select("id", "record_id", "pos", "orcid", "body", "initials", "r.*")
+
+
+def _stands_for(a: str, b: str) -> bool:
+    """Are the words equal, but for a slip, or is one the other shortened?"""
+    if len(a) > len(b):
+        a, b = b, a
+    return a == b or _one_slip(a, b) or len(a) >= 3 and (b.startswith(a) or any(_one_slip(a, b[:n]) for n in range(len(a) - 1, len(a) + 2)))
+
+
+def aligned(left: str, right: str) -> bool:
+    """Can all words of both be assigned to one another so that each two are one word, a slip for it, or it shortened?"""
+    a, b = left.split(), right.split()
+    return len(a) == len(b) and (not a or assignment([[float(_stands_for(x, y)) for y in b] for x in a]) > len(a) - 0.5)
+
+
+def _deletes(word: str):
+    return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.concat(F.col(word).substr(F.lit(1), k - 1), F.col(word).substr(k + 1, F.length(word)))), F.col(word)))
+
+
+def organisations(rows: DataFrame) -> DataFrame:
+    """``spelling, place, subject, label``: the organisation of each distinct spelling of place and subject.
+
+    Candidates agree in the place, or in all but a letter removed from each;
+    two spellings are one if place and subject words align.
+    """
+    body = rows.where("body AND size(long) > 0").select(F.col("long")[0].alias("place"), F.array_join("family", " ").alias("subject"))
+    every = cut(body.distinct().withColumn("spelling", F.rtrim(F.concat_ws(" ", "place", "subject"))), "bodies")
+    places = every.select("place").distinct()
+    keyed = places.where("length(place) >= 5").select("place", F.explode(_deletes("place")).alias("d"))
+    near = keyed.join(keyed.withColumnRenamed("place", "other"), "d").where("place < other AND levenshtein(place, other) <= 2").select("place", "other").distinct()
+    near = near.unionAll(places.select("place", F.col("place").alias("other")))
+    pairs = near.join(every.select("place", F.col("subject").alias("ls"), F.col("spelling").alias("a")), "place").join(every.select(F.col("place").alias("other"), F.col("subject").alias("rs"), F.col("spelling").alias("b")), "other")
+
+    def agree(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for p, q, x, y in parts:
+            yield pd.Series([(c == d or _one_slip(c, d)) and aligned(e, f) for c, d, e, f in zip(p, q, x, y, strict=True)], dtype="bool")
+
+    agree.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    same = pairs.where("a <> b").where(F.pandas_udf(agree, "boolean")("place", "other", "ls", "rs")).select("a", "b")
+    groups = linked_groups(same, "a", "b").withColumnRenamed("record_id", "spelling")
+    return cut(every.join(groups, "spelling", "left").select("spelling", "place", "subject", F.coalesce("group_id", "spelling").alias("label")), "organisations")
 
 
 def short_forms(read: DataFrame, works: DataFrame) -> DataFrame:
@@ -180,8 +251,7 @@ def short_forms(read: DataFrame, works: DataFrame) -> DataFrame:
 def slips(read: DataFrame) -> DataFrame:
     """``s, t``: family name ``s`` of few rows and a more frequent one ``t`` that agrees with it after one letter is removed from each."""
     count = cut(read.where("length(s) >= 5").groupBy("s").agg(F.countDistinct("id").alias("n")), "tokens")
-    drop = F.array_append(F.transform(F.sequence(F.lit(1), F.length("s")), lambda k: F.concat(F.expr("substring(s, 1, 0)"), F.col("s").substr(F.lit(1), k - 1), F.col("s").substr(k + 1, F.length("s")))), F.col("s"))
-    keyed = count.select("s", "n", F.explode(F.array_distinct(drop)).alias("d"))
+    keyed = count.select("s", "n", F.explode(_deletes("s")).alias("d"))
     rare = keyed.where(F.col("n") <= SLIP_ROWS)
     common = keyed.where("n >= 2").select(F.col("s").alias("t"), F.col("n").alias("n_t"), "d")
     near = rare.join(common, "d").where("s <> t AND n_t > n AND abs(length(s) - length(t)) <= 1").select("s", "t").distinct()
@@ -204,12 +274,21 @@ def entities(authors: DataFrame, papers: DataFrame) -> DataFrame:
     works = about.where("work IS NOT NULL").select("record_id", "work")
     short = short_forms(read, works)
     read = read.join(short, "g", "left").withColumn("i", F.when(F.col("full").isNotNull(), F.substring("full", 1, 1)).otherwise(F.col("i"))).withColumn("g", F.coalesce("full", "g")).drop("full")
-    # names of organisations also appear shortened to letters: a place known from one marks them
-    places = read.where("body").select("s").distinct().withColumn("place", F.lit(True))
-    read = read.join(places, "s", "left").withColumn("body", F.coalesce("place", F.lit(False)) | F.col("body"))
+    # names of organisations also appear as a place beside the first letters of place, kind and subject
+    known = organisations(rows)
+    letters = known.select(F.col("place").alias("t"), "label", F.array_join(F.transform(F.split("subject", " "), lambda w: F.substring(w, 1, 1)), "").alias("letters")).where("letters <> ''").distinct()
+    beside = F.concat(F.array_join(F.array_remove("long", F.col("t")), ""), F.col("initials"))
+    short_names = rows.where("NOT body AND size(long) BETWEEN 1 AND 2").select("id", "initials", "long", F.explode("long").alias("t")).withColumn("beside", beside).where("length(beside) > 2")
+    fits_in = F.col("beside").endswith(F.col("letters")) & (F.length("beside") == F.length("letters") + 2) & F.col("beside").startswith(F.substring("t", 1, 1))
+    marked = short_names.join(letters, "t").where(fits_in).groupBy("id").agg(F.min("label").alias("s"), F.max("label").alias("other")).where("s = other").drop("other")
+    marked = cut(marked, "marked")
+    read = read.join(known.select(F.col("spelling").alias("s"), "label", F.lit(True).alias("body")), ["s", "body"], "left").withColumn("s", F.coalesce("label", "s"))
+    cols = ["id", "record_id", "pos", "orcid", "s", "g", "i", "m", "body"]
+    beside_place = rows.select("id", "record_id", "pos", "orcid").join(marked, "id").select("id", "record_id", "pos", "orcid", "s", *[F.lit("#").alias(c) for c in ("g", "i", "m")], F.lit(True).alias("body"))
+    read = read.join(marked.select("id"), "id", "left_anti").select(*cols).unionByName(beside_place)
     hash_ = F.lit("#")
-    read = cut(read.select("id", "record_id", "pos", "orcid", "s", *[F.when(F.col("body"), hash_).otherwise(F.col(c)).alias(c) for c in ("g", "i", "m")], "body"), "read")
-    alias = read.join(slips(read), "s").select("id", "record_id", "pos", "orcid", F.col("t").alias("s"), "g", "i", "m", "body", F.lit(False).alias("real"))
+    read = cut(read.select("id", "record_id", "pos", "orcid", "s", *[F.when(F.col("body"), hash_).otherwise(F.col(c)).alias(c) for c in ("g", "i", "m")], "body").distinct(), "read")
+    alias = read.where("NOT body").join(slips(read.where("NOT body")), "s").select("id", "record_id", "pos", "orcid", F.col("t").alias("s"), "g", "i", "m", "body", F.lit(False).alias("real"))
     every = cut(read.withColumn("real", F.lit(True)).unionByName(alias), "every")
     # neighbours in the author list, by blocks of positions so that endless lists stay linear
     block = F.floor(F.col("pos") / NEAR)

@@ -78,6 +78,17 @@ def test_entities(spark):
     assert not any("namesake" in (truth[a], truth[b]) or None in (name[a], name[b]) for a, b in found)
 
 
+def test_organisations_align_in_place_and_subject(spark):
+    one = ["Torvedobave Institute for Canopy Thermodynamics", "Torvedobave Inst. f. Cano. Therm.", "Institute of Canopy Thermodynamics, Torvedobave", "Torvedobave Canopy Thermodynamics Collaboration", "The Torvedobave Institute for Canopy Thermodynamics (TICT)", "Torvdeobave Institute for Canopy Thermodynamcis", "Torvedobave Instotute for Canopy Thermodynamics", "TICT Torvedobave"]
+    two = ["Oskofequobagi University for Canopy Thermodynamics", "Oskofequobagi Univ. Canopy Thermodynamics"]
+    names = [(n, 1) for n in one] + [(n, 2) for n in two] + [("Torvedobave Department for Desert Epidemiology", 3), ("Torvedobave Dept. f. Dese. Epide.", 3)]
+    rows = [(f"a{k:02}", f"r{k}", 1, n, None) for k, (n, _) in enumerate(names)]
+    authors = spark.createDataFrame(rows, "author_id string, record_id string, author_position int, name string, orcid string")
+    papers = spark.createDataFrame([], "record_id string, work_family_id string, fields_of_study array<string>")
+    found = {(r.left_author_id, r.right_author_id) for r in variants.variant_pairs(authors, papers).collect()}
+    assert found == {(f"a{i:02}", f"a{j:02}") for i, j in itertools.combinations(range(len(names)), 2) if names[i][1] == names[j][1]}
+
+
 def test_empty(spark):
     authors = spark.createDataFrame([], "author_id string, record_id string, author_position int, name string, orcid string")
     papers = spark.createDataFrame([], "record_id string, work_family_id string, fields_of_study array<string>")
