@@ -11,14 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.functions.skew import lookup_join
 from quillmesh.functions.text import stable_id, strong_key
 from quillmesh.operators.components import components
 from quillmesh.session import cut, ship
 
-#: A component replayed rule by rule in one task may have this many records; a larger one is reported, not cut.
-MOST_REPLAYED = 2_000
-
-
 def keys(claims: DataFrame) -> DataFrame:
     """``record_id, scheme, k``: distinct strong keys."""
     k = claims.select("record_id", strong_key(F.col("scheme"), F.col("value")).alias("k")).where("k IS NOT NULL").distinct()
@@ -50,70 +47,110 @@ def decisions(records: DataFrame, claims: DataFrame) -> DataFrame:
 def resolve(records: DataFrame, claims: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
     """``record_id, canonical_id``: the greedy resolution in input order (``ord``), replayed inside each raw component.
 
-    Two records that share a strong key, or that a reviewer merged, join unless
-    any two records of their groups contradict in a scheme, or a reviewer split
-    them. As joining only ever follows such links, components can be replayed
+    Pairs are tried in input order. Two records that share a strong key join
+    unless the two or either by itself, or their groups as wholes, contradict in a
+    scheme. A reviewer's merge joins unless the two or either by itself
+    contradict; a split, a defer and the relation ``different_work`` keep the
+    pair from being joined directly; a merge of versions leaves it to the
+    keys. As joining only ever follows such links, components can be replayed
     apart with the same result as all records in one loop. ``reviewed`` has
-    ``left_id, right_id, action`` (merge, split, defer), later rows later in
-    ``created_at``.
+    the active events: ``left_id, right_id, action`` (merge, split, defer),
+    ``created_at``, and may have ``relation`` (``same_manifestation`` where
+    missing) and ``event_id``; the latest of a pair counts.
+
+    A component with at most one key in each scheme and no pair kept apart is
+    one group, however large. Only the others are replayed, each in one task
+    that tries the pairs with a common key or a merge: at worst as many as
+    the square of the records of one key.
     """
     strong = keys(claims)
     links = key_links(strong)
     rev = None
     if reviewed is not None:
-        pair = reviewed.select(F.least("left_id", "right_id").alias("x"), F.greatest("left_id", "right_id").alias("y"), "action", "created_at")
-        rev = pair.where("x <> y").groupBy("x", "y").agg(F.max_by("action", "created_at").alias("action"))
+        col = lambda c, other: F.col(c) if c in reviewed.columns else F.lit(other)
+        pair = reviewed.select(F.least("left_id", "right_id").alias("x"), F.greatest("left_id", "right_id").alias("y"), "action", col("relation", "same_manifestation").alias("relation"), "created_at", col("event_id", "").alias("event_id"))
+        last = pair.where("x <> y").groupBy("x", "y").agg(F.max_by(F.struct("action", "relation"), F.struct("created_at", "event_id")).alias("e")).select("x", "y", "e.*")
+        said_ = F.when((F.col("action").isin("split", "defer")) | (F.col("relation") == "different_work"), "apart").when((F.col("action") == "merge") & (F.col("relation") == "same_manifestation"), "merge")
+        there = records.select("record_id").distinct()
+        rev = last.select("x", "y", said_.alias("action")).where("action IS NOT NULL")
+        rev = rev.join(there.withColumnRenamed("record_id", "x"), "x", "left_semi").join(there.withColumnRenamed("record_id", "y"), "y", "left_semi")
+        rev = cut(rev, "reviewed")
         links = links.unionAll(rev.where("action = 'merge'").select("x", "y"))
     raw = components(links, "a", "b").withColumnRenamed("id", "record_id")
     alone = records.select("record_id", "ord").join(raw, "record_id", "left")
     member = alone.where("root IS NOT NULL")
-    size = member.groupBy("root").agg(F.count("*").alias("n"))
-    over = size.where(F.col("n") > MOST_REPLAYED).limit(1).collect()
-    if over:
-        raise RuntimeError(f"component {over[0].root} has {over[0].n} records, more than {MOST_REPLAYED}; it needs a review of its keys")
+    placed = strong.join(raw, "record_id")
+    contested = placed.groupBy("root", "scheme").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("root")
+    if rev is not None:
+        contested = contested.unionAll(rev.where("action = 'apart'").join(raw.withColumnRenamed("record_id", "x"), "x").select("root"))
+    contested = cut(contested.distinct(), "contested")
+    plain = cut(member.join(contested, "root", "left_anti"), "plain")
+    first = plain.groupBy("root").agg(F.min_by("record_id", F.struct("ord", "record_id")).alias("canonical_id"))
+    settled = lookup_join(plain.select("root", "record_id"), first, "root", plain.count()).select("record_id", "canonical_id")
+    member = member.join(contested, "root", "left_semi")
     own = strong.groupBy("record_id").agg(F.sort_array(F.collect_set(F.struct("scheme", "k"))).alias("ks"))
     rows = member.join(own, "record_id", "left")
     if rev is not None:
-        said = rev.join(raw.select(F.col("record_id").alias("x"), "root"), "x").groupBy("root").agg(F.collect_list(F.struct("x", "y", "action")).alias("rev"))
-        rows = rows.join(said, "root", "left")
+        said = rev.join(raw.select(F.col("record_id").alias("x"), "root"), "x").groupBy("x").agg(F.collect_list(F.struct("y", "action")).alias("rev"))
+        rows = rows.join(said.withColumnRenamed("x", "record_id"), "record_id", "left")
     else:
-        rows = rows.withColumn("rev", F.lit(None).cast("array<struct<x:string,y:string,action:string>>"))
+        rows = rows.withColumn("rev", F.lit(None).cast("array<struct<y:string,action:string>>"))
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
+        group = group.sort_values(["ord", "record_id"])
         ids = group.record_id.tolist()
-        sets = []
-        for ks in group.ks:
+        at = {x: i for i, x in enumerate(ids)}
+        sets: list[dict[str, set]] = []
+        holders: dict[str, list[int]] = {}
+        for i, ks in enumerate(group.ks):
             by: dict[str, set] = {}
             for x in [] if ks is None else ks:
                 by.setdefault(x["scheme"], set()).add(x["k"])
+                holders.setdefault(x["k"], []).append(i)
             sets.append(by)
-        said = {(x["x"], x["y"]): x["action"] for r in group.rev.head(1) if r is not None for x in r}
-        parts = [[i] for i in range(len(ids))]
-        where = list(range(len(ids)))
-
-        def conflict(i: int, j: int) -> bool:
-            return any(sets[i][s] != sets[j][s] for s in sets[i].keys() & sets[j].keys())
-
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                action = said.get((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                if action in ("split", "defer") or where[i] == where[j]:
-                    continue
-                shared = any(sets[i].get(s, set()) & sets[j].get(s, set()) for s in sets[i])
-                if not shared and action != "merge":
-                    continue
-                p, q = parts[where[i]], parts[where[j]]
-                if any(conflict(x, y) for x in p for y in q):
-                    continue
-                low, high = sorted((where[i], where[j]))
+        said: list[dict[int, str]] = [{} for _ in ids]
+        for i, rs in enumerate(group.rev):
+            for r in [] if rs is None else rs:
+                j = at.get(r["y"])
+                if j is not None:
+                    said[min(i, j)][max(i, j)] = r["action"]
+        torn = [any(len(v) > 1 for v in s.values()) for s in sets]
+        where, parts = list(range(len(ids))), [[i] for i in range(len(ids))]
+        whole = [{s: set(v) for s, v in x.items()} for x in sets]
+
+        def conflict(p: dict[str, set], q: dict[str, set]) -> bool:
+            return any(p[s] != q[s] for s in p.keys() & q.keys())
+
+        def join(i: int, j: int) -> None:
+            low, high = sorted((where[i], where[j]), key=lambda w: parts[w][0])
+            if len(parts[low]) < len(parts[high]):  # the smaller one moves; its first member stays first
+                parts[low], parts[high] = [parts[low][0], *parts[high], *parts[low][1:]], []
+                for x in parts[low]:
+                    where[x] = low
+            else:
                 for x in parts[high]:
                     where[x] = low
                 parts[low] += parts[high]
-        return pd.DataFrame({"record_id": ids, "canonical_id": [ids[min(parts[w])] for w in where]})
+                parts[high] = []
+            for s, v in whole[high].items():
+                whole[low].setdefault(s, set()).update(v)
+
+        for i in range(len(ids)):
+            near = set(said[i])
+            if not torn[i]:
+                for v in sets[i].values():
+                    for k in v:
+                        near.update(j for j in holders[k] if j > i and where[j] != where[i])
+            for j in sorted(near):
+                action = said[i].get(j)
+                if action == "apart" or where[i] == where[j] or torn[i] or torn[j] or conflict(sets[i], sets[j]):
+                    continue
+                if action == "merge" or any(sets[i][s] & sets[j][s] for s in sets[i].keys() & sets[j].keys()) and not conflict(whole[where[i]], whole[where[j]]):
+                    join(i, j)
+        return pd.DataFrame({"record_id": ids, "canonical_id": [ids[parts[w][0]] for w in where]})
 
     done = rows.select("root", "record_id", "ord", "ks", "rev").groupBy("root").applyInPandas(replay, "record_id string, canonical_id string")
-    return done.unionByName(alone.where("root IS NULL").select("record_id", F.col("record_id").alias("canonical_id")))
+    return done.unionByName(settled).unionByName(alone.where("root IS NULL").select("record_id", F.col("record_id").alias("canonical_id")))
 
 
 def merged(records: DataFrame, groups: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators import identity as I
+from quillmesh.operators.audit import active_events
 from quillmesh.plans.registry import query
 from quillmesh.session import load
 
@@ -41,7 +42,7 @@ def identity_decisions(spark: SparkSession, folder: str) -> DataFrame:
 def identity_resolved(spark: SparkSession, folder: str) -> DataFrame:
     """The greedy resolution with reviewed merges and splits, checked against a plain loop in the tests."""
     papers, claims = _tables(spark, folder)
-    events = load(spark, folder, "identity_events").where("action IN ('split', 'defer')").select(F.col("left_record_id").alias("left_id"), F.col("right_record_id").alias("right_id"), "action", "created_at")
+    events = active_events(load(spark, folder, "identity_events")).select(F.col("left_record_id").alias("left_id"), F.col("right_record_id").alias("right_id"), "action", "relation", "created_at", "event_id")
     return I.resolve(papers.select("record_id", F.col("record_id").alias("ord")).distinct(), claims, events)
 
 
@@ -77,7 +78,6 @@ def identity_review_pairs(spark: SparkSession, folder: str) -> DataFrame:
     reach(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a) SELECT a AS record_id, min(b) AS root FROM reach GROUP BY 1""",
 )
 def version_families(spark: SparkSession, folder: str) -> DataFrame:
-    from quillmesh.operators.audit import active_events
     from quillmesh.operators.components import components
 
     links = active_events(load(spark, folder, "identity_events")).where("action = 'merge' AND relation = 'version_of' AND left_record_id <> right_record_id")

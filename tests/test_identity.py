@@ -53,6 +53,50 @@ def test_replay_equals_the_sequential_loop(spark):
     assert resolved(spark, ids, rows) == loop(ids, rows)
 
 
+def reviewed_loop(ids, rows, events):
+    """All pairs in order, as the reference goes through them."""
+    sets = {i: {} for i in ids}
+    for i, s, v in rows:
+        sets[i].setdefault(s, set()).add(v)
+    group, whole = {i: i for i in ids}, {i: {s: set(v) for s, v in sets[i].items()} for i in ids}
+    said = {frozenset(x[:2]): x[2:] for x in events}
+
+    def conflict(p, q):
+        return any(p[s] != q[s] for s in p.keys() & q.keys())
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            action, relation = said.get(frozenset((i, j)), ("", ""))
+            if action in ("split", "defer") or relation == "different_work":
+                continue
+            merge = action == "merge" and relation == "same_manifestation"
+            shared = any(sets[i].get(s, set()) & v for s, v in sets[j].items())
+            p, q = sorted((group[i], group[j]))
+            if not merge and not shared or p == q or conflict(sets[i], sets[j]) or any(len(v) > 1 for x in (i, j) for v in sets[x].values()) or not merge and conflict(whole[p], whole[q]):
+                continue
+            for s, v in whole[q].items():
+                whole[p].setdefault(s, set()).update(v)
+            group = {x: p if g == q else g for x, g in group.items()}
+    return group
+
+
+def test_reviewed_merges_and_large_components(spark):
+    rng = random.Random(5)
+    ids = [f"r{k:03}" for k in range(140)]
+    rows = sorted({(i, s, str(rng.randrange(40))) for i in ids for s in ("pmid", "pmcid", "pmid") if rng.random() < 0.4})
+    kinds = [("merge", "same_manifestation")] * 6 + [("merge", "version_of"), ("split", "different_work"), ("defer", "same_manifestation"), ("merge", "different_work")]
+    events = [(*rng.sample(ids, 2), *rng.choice(kinds)) for _ in range(110)] + [(ids[k], ids[k + 1], "merge", "same_manifestation") for k in range(0, 30, 3)]
+    ev = spark.createDataFrame([(*x, datetime(2030, 1, 1, 0, k // 60, k % 60)) for k, x in enumerate(events)], "left_id string, right_id string, action string, relation string, created_at timestamp")
+    got = {r.record_id: r.canonical_id for r in I.resolve(records(spark, ids), claims(spark, rows), ev).collect()}
+    want = reviewed_loop(ids, rows, events)
+    assert got == want and len(set(want.values())) < len(set(loop(ids, rows).values()))
+    many = [f"m{k:04}" for k in range(2500)]
+    got = resolved(spark, many, [(i, "pmid", "7") for i in many])
+    assert set(got.values()) == {"m0000"} and len(got) == 2500
+    got = resolved(spark, many, [(i, "pmid", "7") for i in many] + [(many[-1], "pmcid", "1"), (many[5], "pmcid", "2")])
+    assert {got[i] for i in many[:-1]} == {"m0000"} and got[many[-1]] == many[-1]
+
+
 def test_merge_view_and_titles(spark):
     df = spark.createDataFrame([("a", None, "T1", None, "V", 1, "u"), ("b", "w", "T2", "text", None, 2, None)], "record_id string, work_family_id string, title string, abstract string, venue string, publication_year int, landing_page_url string")
     groups = spark.createDataFrame([("a", "a"), ("b", "a")], "record_id string, root string")
