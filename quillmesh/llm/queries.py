@@ -17,17 +17,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variant_pairs(load(spark, folder, "authors"), load(spark, folder, "papers"))
 
 
+def _scanned(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [
+        ("raw_text", load(spark, folder, "extracted_references"), "reference_key", "raw_text"),
+        ("context_text", load(spark, folder, "citation_contexts"), "context_id", "text"),
+    ]
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.noise(
-        [
-            ("raw_text", load(spark, folder, "extracted_references"), "reference_key", "raw_text"),
-            ("context_text", load(spark, folder, "citation_contexts"), "context_id", "text"),
-        ]
-    )
+    return scans.noise(_scanned(spark, folder))
 
 
 def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.repaired(load(spark, folder, "citation_contexts"), "context_id", "text")
+    return scans.repaired_fields(_scanned(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -291,11 +291,16 @@ def _typed(f):
     return f
 
 
-def noise(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """``field_name, row_id, kind`` for the texts of several tables, given as (field name, table, key, text column); the vocabulary is learned from all together."""
+def repaired_fields(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """``field_name, row_id, text, kinds``: ``repaired`` for the texts of several tables, given as (field name, table, key, text column); the vocabulary is learned from all together."""
     rows = None
     for name, df, key, text in tables:
         part = df.select(F.lit(name).alias("field_name"), F.col(key).cast("string").alias("row_id"), F.col(text).cast("string").alias("t"))
         rows = part if rows is None else rows.unionAll(part)
     found = repaired(rows.select(F.struct("field_name", "row_id").alias("k"), "t"), "k", "t", vocabulary(rows, "t"))
-    return found.select("k.field_name", "k.row_id", F.explode("kinds").alias("kind")).distinct()
+    return found.select("k.field_name", "k.row_id", F.col("t").alias("text"), "kinds")
+
+
+def noise(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """``field_name, row_id, kind`` for the texts of several tables, given as for ``repaired_fields``."""
+    return repaired_fields(tables).select("field_name", "row_id", F.explode("kinds").alias("kind")).distinct()

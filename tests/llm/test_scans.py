@@ -74,3 +74,16 @@ def test_a_repeated_misreading_in_a_larger_corpus(spark):
     rows = [(str(k), good if k % 50 else good.replace("density", "dcnsity")) for k in range(600)]
     found = scans.noise([("t", spark.createDataFrame(rows, "id string, text string"), "id", "text")])
     assert sorted((r.row_id, r.kind) for r in found.collect()) == sorted((str(k), "misread") for k in range(0, 600, 50))
+
+
+def test_both_fields_are_repaired_with_one_vocabulary(spark, tmp_path):
+    from quillmesh.llm.queries import p2_found, p2_repaired
+
+    good = "the density of the model depends on the accuracy of the sample"
+    bad = good.replace("density", "den5ity")
+    spark.createDataFrame([(f"r{k}", good) for k in range(60)] + [("r", bad)], "reference_key string, raw_text string").write.parquet(f"{tmp_path}/extracted_references.parquet")
+    spark.createDataFrame([("c", bad), ("null", None)], "context_id string, text string").write.parquet(f"{tmp_path}/citation_contexts.parquet")
+    got = {(r.field_name, r.row_id): (r.text, list(r.kinds)) for r in p2_repaired(spark, str(tmp_path)).collect()}
+    assert len(got) == 63 and got[("raw_text", "r")] == got[("context_text", "c")] == (good, ["misread"]) and got[("context_text", "null")] == (None, [])
+    found = {(r.field_name, r.row_id, r.kind) for r in p2_found(spark, str(tmp_path)).collect()}
+    assert found == {(*k, x) for k, (_, kinds) in got.items() for x in kinds}
