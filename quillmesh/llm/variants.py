@@ -28,7 +28,7 @@ from quillmesh.functions.skew import lookup_join
 from quillmesh.llm.confusables import own_form
 from quillmesh.llm.contraction import linked_groups
 from quillmesh.llm.names import BODIES, WORD, fold, is_body, parse
-from quillmesh.operators.evaluation import assignment
+from quillmesh.operators.assignment import best_total
 from quillmesh.session import cut, ship
 
 #: Authors this many places away in one author list are neighbours.
@@ -203,7 +203,7 @@ def _stands_for(a: str, b: str) -> bool:
 def aligned(left: str, right: str) -> bool:
     """Can all words of both be assigned to one another so that each two are one word, a slip for it, or it shortened?"""
     a, b = left.split(), right.split()
-    return len(a) == len(b) and (not a or assignment([[float(_stands_for(x, y)) for y in b] for x in a]) > len(a) - 0.5)
+    return len(a) == len(b) and (not a or best_total((i, j, 1.0) for i, x in enumerate(a) for j, y in enumerate(b) if _stands_for(x, y)) > len(a) - 0.5)
 
 
 def _deletes(word: str):
