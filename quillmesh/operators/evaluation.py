@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators.assignment import best_total
+from quillmesh.session import cut, ship
+
 _div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
@@ -82,61 +85,29 @@ def exact_clusters(clusters: DataFrame) -> DataFrame:
     return a.select(F.coalesce("exact", F.lit(0)).alias("exact"), "predicted", "gold")
 
 
-def assignment(weights: list[list[float]]) -> float:
-    """The greatest total weight of a one-to-one assignment of rows to columns (successive shortest paths with potentials)."""
-    rows, cols = len(weights), max((len(w) for w in weights), default=0)
-    if not rows or not cols:
-        return 0.0
-    if rows > cols:
-        weights = [list(x) for x in zip(*weights, strict=True)]
-        rows, cols = cols, rows
-    inf = float("inf")
-    up, down, match = [0.0] * (rows + 1), [0.0] * (cols + 1), [0] * (cols + 1)
-    for i in range(1, rows + 1):
-        match[0], at = i, 0
-        best, back, seen = [inf] * (cols + 1), [0] * (cols + 1), [False] * (cols + 1)
-        while True:
-            seen[at] = True
-            row, step, nxt = match[at], inf, 0
-            for j in range(1, cols + 1):
-                if not seen[j]:
-                    cost = -weights[row - 1][j - 1] - up[row] - down[j]
-                    if cost < best[j]:
-                        best[j], back[j] = cost, at
-                    if best[j] < step:
-                        step, nxt = best[j], j
-            for j in range(cols + 1):
-                if seen[j]:
-                    up[match[j]] += step
-                    down[j] -= step
-                else:
-                    best[j] -= step
-            at = nxt
-            if match[at] == 0:
-                break
-        while at:
-            match[at] = match[back[at]]
-            at = back[at]
-    return sum(weights[match[j] - 1][j - 1] for j in range(1, cols + 1) if match[j])
-
-
 def ceaf_e(clusters: DataFrame) -> DataFrame:
-    """CEAF with entity similarity. The best alignment splits along the components of overlapping clusters, each solved in its own task."""
+    """CEAF with entity similarity.
+
+    The best alignment splits along the components of overlapping clusters.
+    Two clusters that overlap with each other only are aligned where they
+    are; of the other components each is solved in its own task, over the
+    cells that are not empty.
+    """
     from quillmesh.operators.components import components
 
     cell = _cells(clusters).withColumn("w", 2 * F.col("n") / (F.col("np") + F.col("ng")))
-    comp = components(cell.select(F.concat(F.lit("p"), "p").alias("a"), F.concat(F.lit("g"), "g").alias("b")), "a", "b")
-    rows = cell.withColumn("id", F.concat(F.lit("p"), "p")).join(comp, "id").select("root", F.col("p").cast("string").alias("p"), F.col("g").cast("string").alias("g"), "w")
+    ship(clusters.sparkSession)
+    width = lambda k: cell.groupBy(k).agg(F.count("*").alias(f"cells_{k}"))
+    cell = cut(cell.join(width("p"), "p").join(width("g"), "g"), "cells")
+    n = cell.agg(F.countDistinct("p").alias("p"), F.countDistinct("g").alias("g"), F.sum(F.when((F.col("cells_p") == 1) & (F.col("cells_g") == 1), F.col("w"))).alias("alone")).first()
+    tied = cell.where("cells_p > 1 OR cells_g > 1").withColumn("id", F.concat(F.lit("p"), "p"))
+    comp = components(tied.select("id", F.concat(F.lit("g"), "g").alias("b")), "id", "b")
+    rows = tied.join(comp, "id").select("root", F.col("p").cast("string").alias("p"), F.col("g").cast("string").alias("g"), "w")
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        ps, gs = {x: i for i, x in enumerate(part.p.unique())}, {x: i for i, x in enumerate(part.g.unique())}
-        m = [[0.0] * len(gs) for _ in ps]
-        for p, g, w in zip(part.p, part.g, part.w, strict=True):
-            m[ps[p]][gs[g]] = w
-        return pd.DataFrame({"s": [assignment(m)]})
-
-    total = rows.groupBy("root").applyInPandas(solve, "s double").agg(F.sum("s")).first()[0] or 0.0
-    n = cell.agg(F.countDistinct("p").alias("p"), F.countDistinct("g").alias("g")).first()
+        return pd.DataFrame({"s": [best_total(zip(part.p, part.g, part.w, strict=True))]})
+
+    total = (rows.groupBy("root").applyInPandas(solve, "s double").agg(F.sum("s")).first()[0] or 0.0) + (n.alone or 0.0)
     p, r = (total / n.p if n.p else 0.0), (total / n.g if n.g else 0.0)
     return clusters.sparkSession.createDataFrame([(round(p, 9), round(r, 9), round(2 * p * r / (p + r), 9) if p + r else 0.0)], "precision double, recall double, f1 double")
 

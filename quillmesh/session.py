@@ -8,10 +8,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+#: Where the tables made by ``cut`` lie.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "quillmesh") -> SparkSession:
@@ -58,7 +62,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one made here (local runs, tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder is made here, which only a session on one
+    machine can use; on a cluster that would lose data, so it is refused.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
@@ -66,6 +74,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="quillmesh-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
@@ -76,9 +86,28 @@ def cut(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The plan above starts from files that survive the loss of executors, with
-    known sizes, and nothing below is computed twice.
+    known sizes, and nothing below is computed twice. ``discard`` deletes the
+    files of tables that no later plan reads.
     """
+    return counted(df, tag)[0]
+
+
+def counted(df: DataFrame, tag: str = "t") -> tuple[DataFrame, int]:
+    """``cut``, with the number of rows counted while they are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table, seen.get["n"]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by ``cut`` that nothing reads any more."""
+    for t in tables:
+        path = _paths.pop(t, None)
+        if path is not None:
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

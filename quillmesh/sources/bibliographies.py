@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from quillmesh.session import ship
 
 MOST_CONTEXT = 1000
-SCHEMA = "doc string, reference_id string, ordinal int, cited boolean, evidence string, raw_text string, title string, authors array<string>, year int, doi string, venue string, pages string, callouts int, context string, section string"
+SCHEMA = "doc string, reference_id string, ordinal int, cited boolean, evidence string, raw_text string, title string, authors array<string>, year int, doi string, venue string, volume string, issue string, pages string, callouts int, context string, section string"
+#: What a parser gives of each entry, in order.
+NAMES = [x.split(" ")[0] for x in SCHEMA.split(", ")][1:]
 _DOI = re.compile(r"10\.\d{4,9}/[^\s\"<>{}]+", re.I)
 _YEAR = re.compile(r"\b([12]\d{3})\b")
 _TAG_NAME = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
@@ -38,9 +40,9 @@ def _year(x: str | None) -> int | None:
     return int(m.group(1)) if m else None
 
 
-def _row(rid, ordinal, callouts, raw, title=None, authors=(), year=None, doi=None, venue=None, pages=None, context=None, section=None, verified=True):
+def _row(rid, ordinal, callouts, raw, title=None, authors=(), year=None, doi=None, venue=None, volume=None, issue=None, pages=None, context=None, section=None, verified=True):
     cited = callouts > 0
-    return (rid, ordinal, cited, "verified_anchor" if cited and verified else "bibliography_only", raw, title or None, list(authors), year, doi, venue or None, pages or None, callouts, context, section)
+    return (rid, ordinal, cited, "verified_anchor" if cited and verified else "bibliography_only", raw, title or None, list(authors), year, doi, venue or None, volume or None, issue or None, pages or None, callouts, context, section)
 
 
 def _anchors(root: ET.Element, tag: str, attribute: str, wanted) -> tuple[Counter, dict[str, tuple[str, str | None]]]:
@@ -87,7 +89,7 @@ def jats(source: str) -> list[tuple]:
                 names.append(_text(n))
         first, last = _text(_find(e, "fpage")), _text(_find(e, "lpage"))
         ident = next((x for x in e.iter() if _TAG_NAME(x) == "pub-id" and x.attrib.get("pub-id-type") == "doi"), None)
-        out.append(_row(rid, k, count[rid], _text(e), _text(_find(e, "article-title")), [n for n in names if n], _year(_text(_find(e, "year"))), _doi(_text(ident)), _text(_find(e, "source")), f"{first}-{last}" if first and last else first, *where.get(rid, (None, None))))
+        out.append(_row(rid, k, count[rid], _text(e), _text(_find(e, "article-title")), [n for n in names if n], _year(_text(_find(e, "year"))), _doi(_text(ident)), _text(_find(e, "source")), _text(_find(e, "volume")), _text(_find(e, "issue")), f"{first}-{last}" if first and last else first, *where.get(rid, (None, None))))
     return out
 
 
@@ -108,7 +110,7 @@ def tei(source: str) -> list[tuple]:
         span = "" if pages is None else "-".join(x for x in (pages.attrib.get("from"), pages.attrib.get("to")) if x) or _text(pages)
         ident = next((x for x in e.iter() if _TAG_NAME(x) == "idno" and x.attrib.get("type", "").lower() == "doi"), None)
         when = None if date is None else date.attrib.get("when") or _text(date)
-        out.append(_row(rid, k, count[rid], _text(e), _text(title), [n for n in names if n], _year(when), _doi(_text(ident)), _text(venue), span, *where.get(rid, (None, None))))
+        out.append(_row(rid, k, count[rid], _text(e), _text(title), [n for n in names if n], _year(when), _doi(_text(ident)), _text(venue), _text(_find(e, "biblScope", unit="volume")), _text(_find(e, "biblScope", unit="issue")), span, *where.get(rid, (None, None))))
     return out
 
 
@@ -159,46 +161,110 @@ def _balanced(source: str, at: int) -> int:
     raise ValueError("unbalanced entry")
 
 
-def bibtex(source: str) -> list[tuple]:
-    out, at, k = [], 0, 0
-    while m := re.compile(r"@(\w+)\s*([{(])").search(source, at):
-        end = _balanced(source, m.end() - 1)
-        at = end
+_ENTRY = re.compile(r"@(\w+)\s*([{(])")
+_FIELD = re.compile(r"\s*([\w-]+)\s*=\s*")
+
+
+def _value(body: str, at: int) -> tuple[str, int]:
+    """A field's value from ``at`` on, its parts (braced, quoted or bare, with ``#`` between) put together, and the place after it."""
+    parts = []
+    while True:
+        while body[at : at + 1].isspace():
+            at += 1
+        if body[at : at + 1] == "{":
+            end = _balanced(body, at)
+            part = body[at + 1 : end - 1]
+        elif body[at : at + 1] == '"':
+            end, depth = at + 1, 0
+            while end < len(body) and (body[end] != '"' or depth):
+                depth += (body[end] == "{") - (body[end] == "}")
+                end += 2 if body[end] == "\\" else 1
+            if end >= len(body):
+                raise ValueError("unbalanced value")
+            part, end = body[at + 1 : end], end + 1
+        else:
+            end = min((k for k in (body.find(",", at), body.find("#", at)) if k >= 0), default=len(body))
+            part = body[at:end].rstrip()
+        parts.append(part)
+        mark = re.compile(r"\s*#").match(body, end)
+        if not mark:
+            return "".join(parts), end
+        at = mark.end()
+
+
+def _bibtex(source: str) -> tuple[list[tuple], list[tuple[str | None, str]]]:
+    """The entries, and what was wrong with some as ``key, kind``; of entries with one key the first counts."""
+    out, wrong, seen, at, k = [], [], set(), 0, 0
+    while m := _ENTRY.search(source, at):
+        at = _balanced(source, m.end() - 1)
         if m.group(1).lower() in ("comment", "preamble", "string"):
             continue
-        body = source[m.end() : end - 1]
-        key, _, rest = body.partition(",")
         k += 1
+        key, comma, rest = source[m.end() : at - 1].partition(",")
+        key = key.strip()
+        if not comma or not key:
+            wrong.append((key or None, "no_key_or_fields"))
+            continue
+        if key in seen:
+            wrong.append((key, "duplicate_key"))
+            continue
+        seen.add(key)
         fields: dict[str, str] = {}
         pos = 0
-        while f := re.compile(r"\s*([\w-]+)\s*=\s*").match(rest, pos):
-            pos = f.end()
-            if rest[pos : pos + 1] == "{":
-                stop = _balanced(rest, pos)
-                value = rest[pos + 1 : stop - 1]
-            elif rest[pos : pos + 1] == '"':
-                stop = pos + 1
-                depth = 0
-                while stop < len(rest) and (rest[stop] != '"' or depth):
-                    depth += (rest[stop] == "{") - (rest[stop] == "}")
-                    stop += 2 if rest[stop] == "\\" else 1
-                value, stop = rest[pos + 1 : stop], stop + 1
+        while pos < len(rest) and rest[pos:].strip():
+            f = _FIELD.match(rest, pos)
+            if f:
+                value, pos = _value(rest, f.end())
+                fields[f.group(1).lower()] = plain_latex(value)
             else:
-                stop = rest.find(",", pos) if "," in rest[pos:] else len(rest)
-                value = rest[pos:stop]
-            fields.setdefault(f.group(1).lower(), plain_latex(value))
-            pos = rest.find(",", stop) + 1 or len(rest)
-        names = [n.strip() for n in re.split(r"\s+and\s+", fields.get("author", "")) if n.strip()]
+                wrong.append((key, "malformed_field"))
+            pos = rest.find(",", pos) + 1 or len(rest)
+        names = [n.strip() for n in re.split(r"\s+and\s+", fields.get("author", ""), flags=re.I) if n.strip()]
         pages = re.sub(r"-{2,}", "-", fields.get("pages", ""))
-        out.append(_row(key.strip(), k, 0, " ".join(source[m.start() : end].split()), fields.get("title"), names, _year(fields.get("year")), _doi(fields.get("doi")), fields.get("journal") or fields.get("booktitle"), pages))
-    if "@" in source and not k and re.search(r"@\w+\s*[{(]", source) and not out and not re.search(r"@(comment|preamble|string)", source, re.I):
-        raise ValueError("no readable entry")
-    return out
+        out.append(_row(key, k, 0, " ".join(source[m.start() : at].split()), fields.get("title"), names, _year(fields.get("year")), _doi(fields.get("doi")) or _doi(fields.get("url")) or _doi(source[m.start() : at]), fields.get("journal") or fields.get("booktitle"), fields.get("volume"), fields.get("number"), pages))
+    return out, wrong
+
+
+def bibtex(source: str) -> list[tuple]:
+    return _bibtex(source)[0]
 
 
 PARSERS = {"jats": jats, "tei": tei, "latex": latex, "bibtex": bibtex}
 
 
+def dangling(fmt: str, source: str) -> list[str]:
+    """Targets that the text calls out and the bibliography lacks, sorted."""
+    if fmt == "latex":
+        source = re.sub(r"(?<!\\)%.*", "", source)
+        called = {t.strip() for m in _CITE.finditer(source) for t in m.group(1).split(",") if t.strip()}
+    elif fmt == "jats":
+        called = set(_anchors(safe_xml(source), "xref", "rid", lambda a: a.attrib.get("ref-type") == "bibr")[0])
+    elif fmt == "tei":
+        called = set(_anchors(safe_xml(source), "ref", "target", lambda a: a.attrib.get("type") == "bibr")[0])
+    else:
+        called = set()
+    return sorted(called - {r[0] for r in PARSERS[fmt](source)})
+
+
+def warnings(documents: DataFrame) -> DataFrame:
+    """``doc, reference_id, kind``: callouts without entry, entries never called out, and faulty entries of ``documents`` (``doc, format, content``). Documents that can't be parsed give none."""
+    ship(documents.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for doc, fmt, content in zip(part.doc, part.format, part.content, strict=True):
+                try:
+                    rows += [(doc, r[0], "uncited_reference") for r in PARSERS[fmt](content or "") if not r[2]]
+                    rows += [(doc, t, "dangling_callout") for t in dangling(fmt, content or "")]
+                    rows += [(doc, key, kind) for key, kind in (_bibtex(content or "")[1] if fmt == "bibtex" else [])]
+                except (ValueError, KeyError, ET.ParseError):
+                    continue
+            yield pd.DataFrame(rows, columns=["doc", "reference_id", "kind"])
+
+    return documents.select("doc", "format", "content").mapInPandas(run, "doc string, reference_id string, kind string")
+
+
 def extracted(documents: DataFrame, include_uncited: bool = False) -> DataFrame:
     """Bibliography rows of ``documents`` (``doc, format, content``); those never called out only with ``include_uncited`` (BibTeX has no callouts and keeps all).
 
@@ -207,15 +273,14 @@ def extracted(documents: DataFrame, include_uncited: bool = False) -> DataFrame:
     ship(documents.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
         for part in parts:
             rows = []
             for doc, fmt, content in zip(part.doc, part.format, part.content, strict=True):
                 try:
                     found = PARSERS[fmt](content or "")
                 except (ValueError, KeyError, ET.ParseError) as e:
-                    found = [(None, 0, False, "failed", str(e), None, [], None, None, None, None, 0, None, None)]
+                    found = [(None, 0, False, "failed", str(e), None, [], None, None, None, None, None, None, 0, None, None)]
                 rows += [(doc, *r) for r in found if include_uncited or r[2] or fmt == "bibtex" or r[3] == "failed"]
-            yield pd.DataFrame(rows, columns=names).astype({"year": "Int32"})
+            yield pd.DataFrame(rows, columns=["doc", *NAMES]).astype({"year": "Int32"})
 
     return documents.select("doc", "format", "content").mapInPandas(run, SCHEMA)

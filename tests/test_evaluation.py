@@ -1,3 +1,9 @@
+import itertools
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillmesh.operators.assignment import best_assignment
 from quillmesh.operators import evaluation as V
 
 
@@ -22,15 +28,30 @@ def test_clusters(spark):
     assert abs(V.ceaf_e(c).first().f1 - 2 / 3) < 1e-8
 
 
-def test_assignment_edges_confusion_bootstrap(spark):
-    import itertools
-    import random
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 5), st.data())
+def test_assignment_is_the_best(n, m, data):
+    weight = st.sampled_from([0.0, 0.2, 0.25, 0.5, 0.75, 1.0])
+    table = {(i, j): data.draw(weight) for i in range(n) for j in range(m)}
+    long_, short = (range(n), range(m)) if n >= m else (range(m), range(n))
+    at = (lambda i, j: table[i, j]) if n >= m else (lambda i, j: table[j, i])
+    best = max(sum(at(i, j) for i, j in zip(p, short, strict=True)) for p in itertools.permutations(long_, len(short)))
+    found = best_assignment((i, j, w) for (i, j), w in table.items())
+    assert len({c for c, _ in found.values()}) == len(found)
+    assert abs(sum(w for _, w in found.values()) - best) < 1e-12
+
+
+def test_aligned_clusters_with_ties(spark):
+    """One gold cluster split over three, one shared by two, one alone."""
+    rows = [("a", 1, 1), ("b", 1, 1), ("c", 2, 1), ("d", 3, 1), ("e", 3, 2), ("f", 3, 2), ("g", 4, 3)]
+    df = spark.createDataFrame(rows, "id string, p int, g int")
+    total = 2 * 2 / (2 + 4) + 2 * 2 / (3 + 2) + 1.0
+    got = V.ceaf_e(df).first()
+    assert abs(got.precision - total / 4) < 1e-8 and abs(got.recall - total / 3) < 1e-8
+    assert V.ceaf_e(df.limit(0)).first().f1 == 0.0
+
 
-    rng = random.Random(2)
-    for n, m in ((3, 3), (2, 4), (4, 2), (1, 1)):
-        x = [[rng.random() for _ in range(m)] for _ in range(n)]
-        best = max(sum(x[i][j] for i, j in zip(range(n), p, strict=False)) for p in itertools.permutations(range(m), n)) if n <= m else max(sum(x[i][j] for j, i in enumerate(p)) for p in itertools.permutations(range(n), m))
-        assert abs(V.assignment(x) - best) < 1e-12
+def test_edges_confusion_bootstrap(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c")], "l string, r string")
     assert V.edges_f1(e, spark.createDataFrame([("a", "b"), ("x", "c")], "l string, r string"), ("l", "r")).first().f1 == 0.5
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "g int, p int")
