@@ -7,6 +7,8 @@ that the scheme's public rules give it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it; keeps generated code small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def unquoted(c: Column) -> Column:
     """Percent escapes decoded; a plus sign stays, as it is no space here; what can't be decoded stays."""
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
@@ -54,25 +61,27 @@ def arxiv(c: Column | str, version: bool = True) -> Column:
     Since 2007 numbers are four digits, a full stop and four or five digits;
     before, an archive (with a subject class) and seven digits.
     """
-    x = F.trim(_col(c))
-    path = F.when(_part(x, "QUERY", "arxiv.org", www=False).isNull() & _part(x, "REF", "arxiv.org", www=False).isNull(), _part(x, "PATH", "arxiv.org", www=False))
-    section = F.split_part(path, F.lit("/"), F.lit(2))
-    address = F.when(section.isin("abs", "pdf"), F.substring(path, 6, F.length(path)))
-    bare = F.lower(F.coalesce(address, F.when(F.contains(x, F.lit("//")), F.lit("")), _without_prefix(x, "arxiv")))
-    bare = F.when(F.endswith(bare, F.lit(".pdf")), F.left(bare, F.length(bare) - 4)).otherwise(bare)
-    mark = F.regexp_extract(bare, r"v\d+$", 0)
-    stem = F.left(bare, F.length(bare) - F.length(mark))
-    new, old = stem.rlike(r"^\d{4}\.\d{4,5}$"), stem.rlike(r"^[a-z-]+(\.[a-z]{2})?/\d{7}$")
-    return F.when(new | old, F.concat(stem, mark) if version else stem)
+    def ending(bare: Column) -> Column:
+        return let(F.when(F.endswith(bare, F.lit(".pdf")), F.left(bare, F.length(bare) - 4)).otherwise(bare), split)
+
+    def split(bare: Column) -> Column:
+        shaped = lambda stem: stem.rlike(r"^\d{4}\.\d{4,5}$") | stem.rlike(r"^[a-z-]+(\.[a-z]{2})?/\d{7}$")
+        return let(F.regexp_replace(bare, r"v\d+$", ""), lambda stem: F.when(shaped(stem), bare if version else stem))
+
+    def page(x: Column) -> Column:
+        whole = F.try_parse_url(x, F.lit("QUERY")).isNull() & F.try_parse_url(x, F.lit("REF")).isNull()
+        return let(_part(x, "PATH", "arxiv.org", www=False), lambda path: F.when(whole & path.rlike("^/(abs|pdf)/"), F.substring(path, 6, 200)))
+
+    return let(let(F.trim(_col(c)), lambda x: F.lower(F.when(F.contains(x, F.lit("://")), page(x)).otherwise(_without_prefix(x, "arxiv")))), ending)
 
 
 def openreview(c: Column | str) -> Column:
     """A note or forum of the review platform, or null. The id stands in the query of an address."""
-    x = unquoted(F.trim(_col(c)))
-    path = _part(x, "PATH", "openreview.net")
-    asked = F.when(path.isin("/forum", "/pdf"), unquoted(F.try_parse_url(x, F.lit("QUERY"), F.lit("id"))))
-    bare = _without_prefix(F.coalesce(asked, x), "openreview")
-    return F.when(F.length(bare).between(3, 128) & ~bare.rlike(r"[^A-Za-z0-9_~-]"), bare)
+    def asked(x: Column) -> Column:
+        return F.when(_part(x, "PATH", "openreview.net").isin("/forum", "/pdf"), unquoted(F.try_parse_url(x, F.lit("QUERY"), F.lit("id"))))
+
+    bare = let(unquoted(F.trim(_col(c))), lambda x: F.when(F.contains(x, F.lit("://")), asked(x)).otherwise(_without_prefix(x, "openreview")))
+    return let(bare, lambda x: F.when(F.length(x).between(3, 128) & ~x.rlike(r"[^A-Za-z0-9_~-]"), x))
 
 
 def acl(c: Column | str) -> Column:
@@ -81,17 +90,20 @@ def acl(c: Column | str) -> Column:
     Until 2019 a volume letter, two digits of the year, and four digits; since
     then year, venue and volume, and number, separated by full stops.
     """
-    x = unquoted(F.trim(_col(c)))
-    own = doi(x)
-    file_ = F.split_part(_part(x, "PATH", "aclanthology.org"), F.lit("/"), F.lit(2))
-    ending = F.regexp_extract(file_, r"\.(pdf|xml|bib)$", 0)
-    address = F.left(file_, F.length(file_) - F.length(ending))
-    bare = F.when(F.startswith(own, F.lit("10.18653/v1/")), F.substring(own, 13, 200)).otherwise(_without_prefix(F.coalesce(address, x), "acl", "acl_anthology"))
-    letter, digits = F.left(bare, F.lit(1)), F.substring(bare, 2, 200)
-    old = letter.rlike("[A-Za-z]") & digits.rlike(r"^\d{2}-\d{4}$")
-    pieces = F.split(bare, r"\.")
-    new = (F.size(pieces) == 3) & F.get(pieces, F.lit(0)).rlike(r"^\d{4}$") & F.get(pieces, F.lit(1)).rlike(r"^[A-Za-z0-9-]+$") & F.get(pieces, F.lit(2)).rlike(r"^\d+$")
-    return F.when(old, F.concat(F.upper(letter), digits)).when(new, F.lower(bare))
+    def named(x: Column) -> Column:
+        file_ = F.split_part(_part(x, "PATH", "aclanthology.org"), F.lit("/"), F.lit(2))
+        return F.when(F.contains(x, F.lit("://")), F.regexp_replace(file_, r"\.(pdf|xml|bib)$", "")).otherwise(_without_prefix(x, "acl", "acl_anthology"))
+
+    def of_doi(x: Column) -> Column:
+        return let(doi(x), lambda d: F.when(F.startswith(d, F.lit("10.18653/v1/")), F.substring(d, 13, 200)))
+
+    def shaped(x: Column) -> Column:
+        pieces = F.split(x, r"\.")
+        old = x.rlike(r"^[A-Za-z]\d{2}-\d{4}$")
+        new = (F.size(pieces) == 3) & F.get(pieces, F.lit(0)).rlike(r"^\d{4}$") & F.get(pieces, F.lit(1)).rlike(r"^[A-Za-z0-9-]+$") & F.get(pieces, F.lit(2)).rlike(r"^\d+$")
+        return F.when(old, F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, 2, 200))).when(new, F.lower(x))
+
+    return let(let(unquoted(F.trim(_col(c))), lambda x: F.coalesce(of_doi(x), named(x))), shaped)
 
 
 # What each source is asked for, given any identifier
@@ -99,9 +111,11 @@ def acl(c: Column | str) -> Column:
 
 def semantic_scholar_key(c: Column | str) -> Column:
     """``DOI:``, ``ARXIV:`` or ``PMID:`` and the identifier; anything else as it is."""
-    x = F.trim(_col(c))
-    number = _without_prefix(x, "pmid")
-    return F.when(doi(x).isNotNull(), F.concat(F.lit("DOI:"), doi(x))).when(arxiv(x, False).isNotNull(), F.concat(F.lit("ARXIV:"), arxiv(x, False))).when(number.rlike(r"^\d+$"), F.concat(F.lit("PMID:"), number)).otherwise(x)
+    def key(x: Column) -> Column:
+        number = let(_without_prefix(x, "pmid"), lambda n: F.when(n.rlike(r"^\d+$"), n))
+        return F.coalesce(F.concat(F.lit("DOI:"), doi(x)), F.concat(F.lit("ARXIV:"), arxiv(x, False)), F.concat(F.lit("PMID:"), number), x)
+
+    return let(F.trim(_col(c)), key)
 
 
 def europe_pmc_key(c: Column | str) -> Column:
@@ -116,20 +130,25 @@ def europe_pmc_key(c: Column | str) -> Column:
 
 def ads_query(c: Column | str) -> Column:
     """The field and quoted value to search the astrophysics index for."""
-    x = unquoted(F.trim(_col(c)))
-    path = _part(x, "PATH", "ui.adsabs.harvard.edu", www=False)
-    x = F.when(F.startswith(path, F.lit("/abs/")), F.split_part(path, F.lit("/"), F.lit(3))).otherwise(x)
-    d = doi(x)
-    a = F.coalesce(F.when(F.startswith(d, F.lit("10.48550/arxiv.")), arxiv(F.substring(d, 16, 60), False)), arxiv(x, False))
     quoted = lambda v: F.concat(F.lit('"'), F.regexp_replace(v, r'(["\\])', r"\\$1"), F.lit('"'))
-    code = F.when(F.startswith(x, F.lit("ads:")), F.substring(x, 5, 200))
-    return F.when(code.isNotNull(), F.concat(F.lit("bibcode:"), quoted(code))).when(a.isNotNull(), F.concat(F.lit("identifier:"), quoted(F.concat(F.lit("arXiv:"), a)))).when(d.isNotNull(), F.concat(F.lit("doi:"), quoted(d))).otherwise(F.concat(F.lit("identifier:"), quoted(x)))
+
+    def bare(x: Column) -> Column:
+        path = _part(x, "PATH", "ui.adsabs.harvard.edu", www=False)
+        return F.when(F.startswith(path, F.lit("/abs/")), F.split_part(path, F.lit("/"), F.lit(3))).otherwise(x)
+
+    def asked(x: Column) -> Column:
+        code = F.when(F.startswith(x, F.lit("ads:")), F.substring(x, 5, 200))
+        d = doi(x)
+        preprint = F.coalesce(F.when(F.startswith(d, F.lit("10.48550/arxiv.")), arxiv(F.substring(d, 16, 60), False)), arxiv(x, False))
+        return F.coalesce(F.concat(F.lit("bibcode:"), quoted(code)), F.concat(F.lit("identifier:"), quoted(F.concat(F.lit("arXiv:"), preprint))), F.concat(F.lit("doi:"), quoted(d)), F.concat(F.lit("identifier:"), quoted(x)))
+
+    return let(let(unquoted(F.trim(_col(c))), bare), asked)
 
 
 def opencitations_key(c: Column | str) -> Column:
     """``doi:``, ``pmid:`` or ``omid:`` and the identifier, or null."""
     x = F.lower(F.trim(_col(c)))
-    return F.when(doi(c if isinstance(c, Column) else F.col(c)).isNotNull(), F.concat(F.lit("doi:"), doi(c))).when(x.rlike(r"^(pmid|omid):."), x)
+    return F.coalesce(F.concat(F.lit("doi:"), doi(c)), F.when(x.rlike(r"^(pmid|omid):."), x))
 
 
 def openaire_key(c: Column | str) -> Column:
