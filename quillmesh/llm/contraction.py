@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.skew import lookup_join
-from quillmesh.session import cut
+from quillmesh.session import counted, cut, discard
 
 #: Far above what any graph needs (a billion vertices take about 40); a guard against endless loops.
 MAX_ROUNDS = 400
@@ -38,11 +38,10 @@ def linked_groups(pairs: DataFrame, left: str, right: str, seed: int = 7) -> Dat
     folder, which bounds the plan and survives lost executors.
     """
     l, r = F.col(left).cast("string"), F.col(right).cast("string")
-    edges = cut(pairs.select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")).where(l.isNotNull() & r.isNotNull() & (l != r)).distinct(), "edges")
+    edges, n_edges = counted(pairs.select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")).where(l.isNotNull() & r.isNotNull() & (l != r)).distinct(), "edges")
     # hooks[k]: v, r (what v hooks to), m (smallest original id contracted into v so far)
     hooks: list[tuple[DataFrame, int]] = []
     smallest: DataFrame | None = None
-    n_edges = edges.count()
     while n_edges:
         if len(hooks) >= MAX_ROUNDS:
             raise RuntimeError(f"{n_edges} edges left after {MAX_ROUNDS} rounds")
@@ -50,14 +49,14 @@ def linked_groups(pairs: DataFrame, left: str, right: str, seed: int = 7) -> Dat
         rank = lambda c: F.struct(F.xxhash64(F.col(c), salt).alias("h"), F.col(c).alias("id"))
         hook = _both_ways(edges).groupBy("v").agg(F.min(rank("w")).alias("near")).select("v", F.least(rank("v"), F.col("near"))["id"].alias("r"))
         hook = hook.withColumn("m", F.col("v")) if smallest is None else hook.join(smallest, "v", "left").withColumn("m", F.coalesce("m", "v"))
-        hook = cut(hook, "hooks")
-        n = hook.count()
+        hook, n = counted(hook, "hooks")
         hooks.append((hook, n))
         smallest = hook.groupBy(F.col("r").alias("v")).agg(F.min("m").alias("m"))
         once = lookup_join(edges, hook.select(F.col("v").alias("a"), F.col("r").alias("x")), "a", n_edges)
         twice = lookup_join(once, hook.select(F.col("v").alias("b"), F.col("r").alias("y")), "b", n_edges)
-        edges = cut(twice.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        n_edges = edges.count()
+        old = edges
+        edges, n_edges = counted(twice.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(old)
     if not hooks:
         return edges.select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
     found: DataFrame | None = None
