@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import audits, evaluations, graphs, identities, references, searches, sources  # noqa: F401
+from quillmesh.plans import audits, evaluations, graphs, identities, references, searches, services, sources, stores  # noqa: F401
 from quillmesh.plans.registry import QUERIES, SQL, Query
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.session import cut
+from quillmesh.functions.skew import lookup_join
+from quillmesh.session import counted, cut, discard, measured
 
 MAX_ROUNDS = 60
 
@@ -18,15 +19,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     before the shuffle. Written every round, so the plan stays short.
     """
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = cut(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    both, n = counted(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "labels")
     for _ in range(MAX_ROUNDS):
-        near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("n"))
+        # a vertex with very many links is looked up by broadcast, see lookup_join
+        near = lookup_join(both, label.withColumnRenamed("u", "v"), "v", n, "inner").groupBy("u").agg(F.min("l").alias("n"))
         low = label.join(near, "u").select("u", "l", F.least("l", "n").alias("n"))
         jump = label.select(F.col("u").alias("n"), F.col("l").alias("j"))
-        new = cut(low.join(jump, "n", "left").select("u", F.col("l").alias("was"), F.least(F.col("n"), F.coalesce("j", "n")).alias("l")), "labels")
-        changed = new.where("l <> was").limit(1).count()
+        step = low.join(jump, "n", "left").select("u", F.col("l").alias("was"), F.least(F.col("n"), F.coalesce("j", "n")).alias("l"))
+        new, seen = measured(step, "labels", changed=F.sum((F.col("l") != F.col("was")).cast("long")))
+        discard(label)
         label = new.select("u", "l")
-        if not changed:
+        if not seen["changed"]:
+            discard(both)
             return label.select(F.col("u").alias("id"), F.col("l").alias("root"))
+        label = new
     raise RuntimeError("components did not settle")

@@ -118,6 +118,36 @@ def confusion(rows: DataFrame, gold: str, predicted: str, labels: Sequence) -> D
     return c.select("gold", *[F.col(str(x)).cast("bigint").alias(f"to_{x}") for x in labels])
 
 
+def label_scores(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """``label, precision, recall, f1, support, accuracy, macro_f1``: each label's scores beside those of the whole."""
+    cell = rows.groupBy(F.col(gold).alias("g"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    ends = cell.select(F.explode(F.array(F.struct(F.col("g").alias("label"), F.col("n").alias("ng"), F.lit(0).alias("np"), F.when(F.col("g") == F.col("p"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("p").alias("label"), F.lit(0).alias("ng"), F.col("n").alias("np"), F.lit(0).alias("tp")))).alias("e")).select("e.*")
+    per = ends.where("label IS NOT NULL").groupBy("label").agg(F.sum("ng").alias("support"), F.sum("np").alias("np"), F.sum("tp").alias("tp"))
+    per = per.select("label", _div("tp", "np").alias("precision"), _div("tp", "support").alias("recall"), _div(2 * F.col("tp"), F.col("np") + F.col("support")).alias("f1"), "support", "tp")
+    whole = Window.partitionBy()  # over the labels, of which there are few
+    out = per.withColumns({"accuracy": _div(F.sum("tp").over(whole), F.sum("support").over(whole)), "macro_f1": F.avg("f1").over(whole)})
+    return out.select("label", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy", "macro_f1")])
+
+
+def micro(counts: DataFrame) -> DataFrame:
+    """Precision, recall and F1 from the sums of ``true_positive, predicted, gold`` over all rows."""
+    a = counts.agg(F.coalesce(F.sum("true_positive"), F.lit(0)).alias("tp"), F.coalesce(F.sum("predicted"), F.lit(0)).alias("np"), F.coalesce(F.sum("gold"), F.lit(0)).alias("ng"))
+    return a.select(F.round(_div("tp", "np"), 9).alias("precision"), F.round(_div("tp", "ng"), 9).alias("recall"), F.round(_div(2 * F.col("tp"), F.col("np") + F.col("ng")), 9).alias("f1"))
+
+
+def universe_gaps(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """``key, missing_from``: members that only one of two sides knows; both sides must be equal for measures over items to mean anything."""
+    g, p = gold.select(key).distinct().withColumn("g", F.lit(1)), predicted.select(key).distinct().withColumn("p", F.lit(1))
+    return g.join(p, key, "full_outer").where("g IS NULL OR p IS NULL").select(key, F.when(F.col("g").isNull(), "gold").otherwise("predicted").alias("missing_from"))
+
+
+def same_universe(gold: DataFrame, predicted: DataFrame, key: str) -> None:
+    """Raise, naming some, if one side has members the other lacks."""
+    gaps = universe_gaps(gold, predicted, key).orderBy(key).limit(5).collect()
+    if gaps:
+        raise ValueError("only one side has " + ", ".join(f"{r[0]} (missing from {r[1]})" for r in gaps))
+
+
 def bootstrap_interval(values: Sequence[float], samples: int, seed: int) -> tuple[float, float, float]:
     """Mean of per-topic values (a short list) and the 95 % interval of resampled means."""
     if not values:

@@ -37,15 +37,19 @@ def surnames(names: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(names, one), lambda s: s != ""))
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """``score`` of pairs with the traits of both sides (``title, authors, year, venue`` and the same with ``c_``), over the traits the entry has."""
+def scored(pairs: DataFrame, title: Column | None = None, venue: Column | None = None) -> DataFrame:
+    """``score`` of pairs with the traits of both sides (``title, authors, year, venue`` and the same with ``c_``), over the traits the entry has.
+
+    ``title`` and ``venue`` are the similarities of those, if they were made before; else
+    edit similarity, which needs no Python, stands in for matching blocks.
+    """
     own = surnames(F.col("authors"))
     gap = F.abs(F.col("year") - F.col("c_year"))
     traits = {
-        "title": (plain(F.col("title")) != "", text_similarity(F.col("title"), F.col("c_title"))),
+        "title": (plain(F.col("title")) != "", text_similarity(F.col("title"), F.col("c_title")) if title is None else title),
         "authors": (F.size(own) > 0, F.size(F.array_intersect(own, surnames(F.coalesce("c_authors", F.array().cast("array<string>"))))) / F.greatest(F.size(own), F.lit(1))),
         "year": (F.col("year").isNotNull(), F.when(gap == 0, 1.0).when(gap == 1, 0.8).otherwise(0.0)),
-        "venue": (plain(F.col("venue")) != "", text_similarity(F.col("venue"), F.col("c_venue"))),
+        "venue": (plain(F.col("venue")) != "", text_similarity(F.col("venue"), F.col("c_venue")) if venue is None else venue),
     }
     there = {t: F.coalesce(has, F.lit(False)) for t, (has, _) in traits.items()}
     total = sum((F.when(there[t], F.coalesce(v, F.lit(0.0)) * WEIGHTS[t]).otherwise(0.0) for t, (_, v) in traits.items()), F.lit(0.0))

@@ -37,7 +37,7 @@ class Filters:
     min_citations: int = 0
 
     def condition(self) -> Column:
-        """All conditions, true or false and never null."""
+        """All conditions, as bare conjuncts, so that those on years, types and access reach the scan. Null counts as false: use it in ``where``."""
         parts: list[Column] = []
         for name, word in (("title", self.title), ("abstract", self.abstract), ("venue", self.venue)):
             if word:
@@ -58,7 +58,7 @@ class Filters:
             parts.append(~F.coalesce(kind.isin(*NO_WORKS), F.lit(False)))
         if self.min_citations:
             parts.append(F.coalesce("citations", F.lit(0)) >= self.min_citations)
-        return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in parts])
+        return reduce(lambda a, b: a & b, parts)
 
     def plan(self, pushed: tuple[str, ...] = ()) -> list[tuple[str, str]]:
         """Where each condition in use is evaluated: by the source, or here."""

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -94,13 +94,19 @@ def cut(df: DataFrame, tag: str = "t") -> DataFrame:
 
 def counted(df: DataFrame, tag: str = "t") -> tuple[DataFrame, int]:
     """``cut``, with the number of rows counted while they are written."""
+    table, seen = measured(df, tag)
+    return table, seen["n"]
+
+
+def measured(df: DataFrame, tag: str = "t", **sums: Column) -> tuple[DataFrame, dict]:
+    """``cut``, with the rows (``n``) and other aggregates taken while they are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh/{tag}-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
-    return table, seen.get["n"]
+    return table, seen.get
 
 
 def discard(*tables: DataFrame) -> None:
