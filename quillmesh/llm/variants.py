@@ -33,8 +33,10 @@ from quillmesh.session import cut, ship
 
 #: Authors this many places away in one author list are neighbours.
 NEAR = 8
-#: A family name in at most this many rows may be a slip for one in more rows.
-SLIP_ROWS = 3
+#: A family name may be a slip for one this many times as frequent; from CLEAR_TIMES on a shared field is enough evidence.
+SLIP_TIMES, CLEAR_TIMES = 1.3, 10
+#: A given name stands beside at least this many others.
+LEAST_PARTNERS = 4
 #: A group of more rows than this is paired off in salted parts.
 PART_ROWS = 1_000
 #: Words without meaning in names of organisations.
@@ -104,14 +106,14 @@ def parsed(authors: DataFrame) -> DataFrame:
 def given_names(rows: DataFrame) -> list[str]:
     """Given names: tokens that stand beside many others, and mostly opposite the family name where it is known (a comma, capitals, initials).
 
-    There are fewer than (tokens beside others) / (least number of partners).
+    Given names come from a stock that grows far slower than the rows; the
+    list of them is what each worker gets.
     """
     shown = rows.where("NOT body AND size(long) BETWEEN 2 AND 6").select("long", "family", F.explode("long").alias("t"))
     pairs = shown.select("t", F.explode("long").alias("o")).where("t <> o").distinct()
     degree = cut(pairs.groupBy("t").agg(F.count("*").alias("n")), "degree")
-    least = max(4.0, 0.02 * degree.count() ** 0.5)
     side = shown.where("size(family) > 0").groupBy("t").agg(F.sum(F.array_contains("family", F.col("t")).cast("int")).alias("last"), F.count("*").alias("all"))
-    found = degree.where(F.col("n") >= least).join(side, "t").where("length(t) > 1 AND all - last >= 2 AND all - last > 2 * last")
+    found = degree.where(F.col("n") >= LEAST_PARTNERS).join(side, "t").where("length(t) > 1 AND all - last >= 2 AND all - last > 2 * last")
     return sorted(r.t for r in found.select("t").collect())
 
 
@@ -239,22 +241,24 @@ def short_forms(read: DataFrame, works: DataFrame) -> DataFrame:
     by_orcid = read.where("NOT body AND g IS NOT NULL AND orcid IS NOT NULL").select("s", F.col("orcid").alias("c"), "g")
     by_work = read.where("NOT body AND g IS NOT NULL").join(works, "record_id").select("s", F.concat_ws("@", "work", "pos").alias("c"), "g")
     seen = by_orcid.unionAll(by_work).distinct()
-    once = seen.groupBy("s", "c").agg(F.collect_set("g").alias("gs")).where("size(gs) = 2")  # two spellings; g is one of the bounded given names or a slip
-    pairs = once.select(F.explode(F.array(F.struct(F.col("gs")[0].alias("g"), F.col("gs")[1].alias("full")), F.struct(F.col("gs")[1].alias("g"), F.col("gs")[0].alias("full")))).alias("p")).select("p.*").groupBy("g", "full").count()
-    total = pairs.groupBy("g").agg(F.sum("count").alias("all"), F.max(F.struct("count", "full")).alias("top"))
     freq = read.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("n"))
+    # of the spellings that share a circumstance, however many, each is paired with the most frequent one
+    known = cut(seen.join(freq, "g"), "spellings")
+    top = known.groupBy("s", "c").agg(F.max(F.struct("n", "g")).alias("t"), F.count("*").alias("k")).where("k > 1").select("s", "c", F.col("t.g").alias("full"))
+    pairs = known.join(top, ["s", "c"]).where("g <> full").groupBy("g", "full").count()
+    total = pairs.groupBy("g").agg(F.sum("count").alias("all"), F.max(F.struct("count", "full")).alias("top"))
     best = total.where("top.count >= 2 AND top.count >= 0.6 * all").select("g", F.col("top.full").alias("full"))
     best = best.join(freq, "g").join(freq.select(F.col("g").alias("full"), F.col("n").alias("n_full")), "full")
     return best.where("n_full > 2 * n").select("g", "full")
 
 
 def slips(read: DataFrame) -> DataFrame:
-    """``s, t``: family name ``s`` of few rows and a more frequent one ``t`` that agrees with it after one letter is removed from each."""
+    """``s, t, clear``: family name ``s`` and a more frequent one ``t`` that agrees with it after one letter is removed from each, and whether it is many times as frequent."""
     count = cut(read.where("length(s) >= 5").groupBy("s").agg(F.countDistinct("id").alias("n")), "tokens")
     keyed = count.select("s", "n", F.explode(_deletes("s")).alias("d"))
-    rare = keyed.where(F.col("n") <= SLIP_ROWS)
     common = keyed.where("n >= 2").select(F.col("s").alias("t"), F.col("n").alias("n_t"), "d")
-    near = rare.join(common, "d").where("s <> t AND n_t > n AND abs(length(s) - length(t)) <= 1").select("s", "t").distinct()
+    near = keyed.join(common, "d").where(F.col("n_t") >= SLIP_TIMES * F.col("n")).where("s <> t AND abs(length(s) - length(t)) <= 1")
+    near = near.select("s", "t", (F.col("n_t") >= CLEAR_TIMES * F.col("n")).alias("clear")).distinct()
     return near.where(F.levenshtein("s", "t") <= 2)
 
 
@@ -288,8 +292,8 @@ def entities(authors: DataFrame, papers: DataFrame) -> DataFrame:
     read = read.join(marked.select("id"), "id", "left_anti").select(*cols).unionByName(beside_place)
     hash_ = F.lit("#")
     read = cut(read.select("id", "record_id", "pos", "orcid", "s", *[F.when(F.col("body"), hash_).otherwise(F.col(c)).alias(c) for c in ("g", "i", "m")], "body").distinct(), "read")
-    alias = read.where("NOT body").join(slips(read.where("NOT body")), "s").select("id", "record_id", "pos", "orcid", F.col("t").alias("s"), "g", "i", "m", "body", F.lit(False).alias("real"))
-    every = cut(read.withColumn("real", F.lit(True)).unionByName(alias), "every")
+    alias = read.where("NOT body").join(slips(read.where("NOT body")), "s").select("id", "record_id", "pos", "orcid", F.col("t").alias("s"), "g", "i", "m", "body", F.lit(False).alias("real"), "clear")
+    every = cut(read.withColumn("real", F.lit(True)).withColumn("clear", F.lit(True)).unionByName(alias), "every")
     # neighbours in the author list, by blocks of positions so that endless lists stay linear
     block = F.floor(F.col("pos") / NEAR)
     here = read.select("record_id", "id", "pos", F.col("s").alias("other"), block.alias("b")).distinct()
@@ -301,7 +305,7 @@ def entities(authors: DataFrame, papers: DataFrame) -> DataFrame:
         near.select(*cols, F.lit(None).cast("string").alias("field"), F.concat(F.lit("n:"), "other").alias("c"))
         .unionByName(base.where("work IS NOT NULL").select(*cols, "field", F.concat(F.lit("w:"), "work").alias("c")))
         .unionByName(base.where("orcid IS NOT NULL").select(*cols, "field", F.concat(F.lit("o:"), "orcid").alias("c")))
-        .unionByName(base.where("field IS NOT NULL AND (real OR g IS NOT NULL)").select(*cols, "field", F.concat(F.lit("f:"), "field").alias("c")))
+        .unionByName(base.where("field IS NOT NULL AND (real OR clear AND g IS NOT NULL)").select(*cols, "field", F.concat(F.lit("f:"), "field").alias("c")))
         .unionByName(base.where("real").select(*cols, "field", F.lit("*").alias("c")))
     )
     seen = cut(seen.distinct(), "seen")
