@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.skew import lookup_join
-from quillmesh.functions.text import stable_id, strong_key
+from quillmesh.functions.text import casefold, stable_id, strong_key
+from quillmesh.functions.text import collapse as normal
 from quillmesh.operators.components import components
 from quillmesh.session import cut, ship
 
@@ -183,29 +184,67 @@ def title_ratio(left: str, right: str, autojunk: bool = True) -> float:
     return difflib.SequenceMatcher(None, _title(left), _title(right), autojunk).ratio()
 
 
-def review_pairs(records: DataFrame, least: float = 0.75, score: float = 0.82) -> DataFrame:
+def merged_whole(records: DataFrame, groups: DataFrame, authors: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """One canonical record per ``root`` with all that its records hold.
+
+    Fields come from the first record (smallest id), a missing abstract from
+    the next that has one; the author list from the first record with the
+    longest list; identifiers (``scheme=value``) and sources are united.
+    """
+    plain = merged(records, groups).drop("sources")
+    lists = authors.where("name IS NOT NULL").groupBy("record_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("author_position", "name"))).alias("a"))
+    longest = lists.join(groups, "record_id").groupBy(F.col("root").alias("record_id")).agg(F.min_by(F.transform("a", lambda x: x["name"]), F.struct((-F.col("n")).alias("m"), "record_id")).alias("authors"))
+    united = lambda df, value, name: df.join(groups, "record_id").select(F.col("root").alias("record_id"), value.alias("x")).where("x IS NOT NULL").groupBy("record_id").agg(F.sort_array(F.collect_set("x")).alias(name))
+    ids = united(claims, F.concat_ws("=", "scheme", "value"), "identifiers")
+    seen = united(sources, F.concat_ws(":", "provider", "source_record_id"), "sources")
+    return plain.join(longest, "record_id", "left").join(ids, "record_id", "left").join(seen, "record_id", "left")
+
+
+def version_families(links: DataFrame, a: str, b: str) -> DataFrame:
+    """``record_id, root, family``: records that reviewers linked as versions of one work, and the work's id: a hash of all its members in order."""
+    found = cut(components(links, a, b).withColumnRenamed("id", "record_id"), "families")
+    family = found.groupBy("root").agg(F.concat(F.lit("review-family:"), F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("record_id")), "\0"), 256), 1, 24)).alias("family"))
+    return lookup_join(found, family, "root", found.count(), "inner").select("record_id", "root", "family")
+
+
+def author_similarity(a, b) -> float:
+    """Jaccard of two sets of names; a half where one is empty."""
+    x, y = set() if a is None else set(a), set() if b is None else set(b)
+    return len(x & y) / len(x | y) if x and y else 0.5
+
+
+def review_pairs(records: DataFrame, authors: DataFrame, claims: DataFrame, least: float = 0.75, score: float = 0.82) -> DataFrame:
     """``left_id, right_id, ratio, score``: pairs of records with like titles that a person should look at.
 
-    Candidates share the three rarest words of the title in two of three
-    places or the first five letters and length band; the ratio decides.
+    Candidates share the rarest two, the first and third, or the second and
+    third rarest of the title words that stand in more than one title, so a
+    misspelt word costs none. Seven parts of the score are the titles' ratio,
+    two the authors', one the years'. Pairs that share a strong key or have
+    unlike ones in a scheme are decided elsewhere.
     """
     ship(records.sparkSession)
-    rows = records.where("title IS NOT NULL").select("record_id", "title", "publication_year")
+    names = authors.where("name IS NOT NULL").groupBy("record_id").agg(F.collect_set(casefold(normal("name"))).alias("names"))
+    sets = keys(claims).groupBy("record_id", "scheme").agg(F.sort_array(F.collect_set("k")).alias("ks")).groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("scheme", "ks"))).alias("strong"))
+    year = F.coalesce("publication_year", F.year("publication_date")).alias("y")
+    rows = cut(records.where("title IS NOT NULL").select("record_id", "title", year).join(names, "record_id", "left").join(sets, "record_id", "left"), "titles")
     words = rows.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-    freq = words.groupBy("w").agg(F.count("*").alias("n"))
+    freq = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
     rare = words.join(freq, "w").groupBy("record_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 3).alias("r"))
-    key = rare.select("record_id", F.explode(F.expr("array(concat_ws(' ', get(r,0).w, get(r,1).w), concat_ws(' ', get(r,0).w, get(r,2).w), concat_ws(' ', get(r,1).w, get(r,2).w))")).alias("k")).distinct()
+    two = "concat_ws(' ', sort_array(array(get(r,{0}).w, get(r,{1}).w)))"
+    key = rare.select("record_id", F.explode(F.expr(f"array_distinct(array({two.format(0, 1)}, {two.format(0, 2)}, {two.format(1, 2)}))")).alias("k")).where("k <> ''")
     pairs = key.withColumnRenamed("record_id", "left_id").join(key.withColumnRenamed("record_id", "right_id"), "k").where("left_id < right_id").select("left_id", "right_id").distinct()
-    both = pairs.join(rows.toDF("left_id", "lt", "ly"), "left_id").join(rows.toDF("right_id", "rt", "ry"), "right_id")
+    both = pairs.join(rows.toDF("left_id", "lt", "ly", "la", "ls"), "left_id").join(rows.toDF("right_id", "rt", "ry", "ra", "rs"), "right_id")
     both = both.where(F.least(F.length("lt"), F.length("rt")) >= 0.6 * F.greatest(F.length("lt"), F.length("rt")))
+    shared = F.array_intersect(F.map_keys(F.coalesce("ls", F.create_map().cast("map<string,array<string>>"))), F.map_keys(F.coalesce("rs", F.create_map().cast("map<string,array<string>>"))))
+    both = both.where(~F.exists(shared, lambda s: (F.col("ls")[s] != F.col("rs")[s]) | F.arrays_overlap(F.col("ls")[s], F.col("rs")[s])))
 
-    def ratios(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in parts:
-            yield pd.Series([title_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    def judge(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for a, b, x, y in parts:
+            yield pd.DataFrame({"ratio": [title_ratio(p, q) for p, q in zip(a, b, strict=True)], "authors": [author_similarity(p, q) for p, q in zip(x, y, strict=True)]})
 
-    ratios.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    take = F.pandas_udf(ratios, "double")
+    judge.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
     gap = F.abs(F.col("ly") - F.col("ry"))
-    year = F.when(gap == 0, 1.0).when(gap == 1, 0.5).when(gap > 1, 0.0).otherwise(0.5)
-    out = both.withColumn("ratio", take("lt", "rt")).where(F.col("ratio") >= least)
-    return out.withColumn("score", 0.7 * F.col("ratio") + 0.2 * 0.5 + 0.1 * year).where(F.col("score") >= score).select("left_id", "right_id", F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
+    near = F.when(gap == 0, 1.0).when(gap == 1, 0.5).when(gap > 1, 0.0).otherwise(0.5)
+    out = both.withColumn("j", F.pandas_udf(judge, "struct<ratio:double,authors:double>")("lt", "rt", "la", "ra")).where(F.col("j.ratio") >= least)
+    out = out.withColumn("score", 0.7 * F.col("j.ratio") + 0.2 * F.col("j.authors") + 0.1 * near).where(F.col("score") >= score)
+    return out.select("left_id", "right_id", F.round("j.ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))

@@ -68,17 +68,40 @@ def entity_view(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("identity_review_pairs")
 def identity_review_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return I.review_pairs(load(spark, folder, "papers"))
+    return I.review_pairs(load(spark, folder, "papers"), load(spark, folder, "authors"), load(spark, folder, "identifier_claims"))
 
 
 @query(
     "version_families",
     """WITH RECURSIVE l AS (SELECT left_record_id AS a, right_record_id AS b FROM identity_events WHERE action = 'merge' AND relation = 'version_of' AND left_record_id <> right_record_id
       AND event_id NOT IN (SELECT reverts_event_id FROM identity_events WHERE reverts_event_id IS NOT NULL)), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-    reach(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a) SELECT a AS record_id, min(b) AS root FROM reach GROUP BY 1""",
+    reach(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a), m AS (SELECT a AS record_id, min(b) AS root FROM reach GROUP BY 1), f AS (SELECT root, 'review-family:' || sha256(string_agg(record_id, chr(0) ORDER BY record_id))[:24] AS family FROM m GROUP BY 1)
+    SELECT record_id, root, family FROM m JOIN f USING (root)""",
 )
 def version_families(spark: SparkSession, folder: str) -> DataFrame:
-    from quillmesh.operators.components import components
-
     links = active_events(load(spark, folder, "identity_events")).where("action = 'merge' AND relation = 'version_of' AND left_record_id <> right_record_id")
-    return components(links, "left_record_id", "right_record_id").withColumnRenamed("id", "record_id")
+    return I.version_families(links, "left_record_id", "right_record_id")
+
+
+@query(
+    "canonical_whole",
+    f"""WITH RECURSIVE {_ROOTS}, n AS (SELECT record_id, count(*) AS n, string_agg(name, '|' ORDER BY author_position, name) AS names FROM authors WHERE name IS NOT NULL GROUP BY 1),
+    x AS (SELECT root, arg_min_null(title, p.record_id) AS title, arg_min(abstract, p.record_id) FILTER (abstract IS NOT NULL AND abstract <> '') AS abstract FROM papers p JOIN roots USING (record_id) GROUP BY 1),
+    w AS (SELECT root, arg_min(names, (-n, record_id)) AS authors FROM n JOIN roots USING (record_id) GROUP BY 1),
+    i AS (SELECT root, string_agg(DISTINCT scheme || '=' || value, '|' ORDER BY scheme || '=' || value) AS identifiers FROM identifier_claims JOIN roots USING (record_id) GROUP BY 1),
+    s AS (SELECT root, string_agg(DISTINCT provider || ':' || source_record_id, '|' ORDER BY provider || ':' || source_record_id) AS sources FROM source_records JOIN roots USING (record_id) GROUP BY 1)
+    SELECT root AS record_id, title, abstract, authors, identifiers, sources FROM x LEFT JOIN w USING (root) LEFT JOIN i USING (root) LEFT JOIN s USING (root)""",
+)
+def canonical_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical records with the longest author list and all identifiers and sources."""
+    papers, claims = _tables(spark, folder)
+    whole = I.merged_whole(papers, I.clusters(papers, claims), load(spark, folder, "authors"), claims, load(spark, folder, "source_records"))
+    return whole.select("record_id", "title", "abstract", *[F.array_join(c, "|").alias(c) for c in ("authors", "identifiers", "sources")])
+
+
+@query("merge_exact_records")
+def merge_exact_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical records of the resolution itself, which keeps contradicting records apart; checked against a plain loop in the tests."""
+    papers, claims = _tables(spark, folder)
+    groups = identity_resolved(spark, folder).withColumnRenamed("canonical_id", "root")
+    return I.merged_whole(papers, groups, load(spark, folder, "authors"), claims, load(spark, folder, "source_records"))

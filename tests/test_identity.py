@@ -1,6 +1,8 @@
 import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from quillmesh.operators import identity as I
 
 
@@ -106,4 +108,31 @@ def test_merge_view_and_titles(spark):
     assert view["a"].basis == "singleton" and view["b"].artifact_id is None and view["a"].work_id != view["b"].work_id
     assert I.title_ratio("Same  Title!", "same title") == 1.0
     likes = spark.createDataFrame([("a", "Linear limits of cryogonome retrieval", 2020), ("b", "Linear limits of cryogonome retrieval", 2020), ("c", "Something else about birds", 2020)], "record_id string, title string, publication_year int")
-    assert [(r.left_id, r.right_id, r.score) for r in I.review_pairs(likes).collect()] == [("a", "b", 0.9)]
+    none = spark.createDataFrame([], "record_id string, author_position int, name string"), spark.createDataFrame([], "record_id string, scheme string, value string")
+    assert [(r.left_id, r.right_id, r.score) for r in I.review_pairs(likes.withColumn("publication_date", F.lit(None).cast("date")), *none).collect()] == [("a", "b", 0.9)]
+
+
+def test_review_pairs_use_authors_and_leave_decided_pairs(spark):
+    titles = {"a": "Drying of moss in winter", "b": "Drying of mosss in winter", "c": "Drying of moss in winter", "d": "Drying of moss in winter", "e": "Kilns"}
+    records = spark.createDataFrame([(k, t, 2000, None) for k, t in titles.items()], "record_id string, title string, publication_year int, publication_date date")
+    authors = spark.createDataFrame([("a", 1, "Una  Birk"), ("b", 1, "una birk"), ("c", 1, "Someone Else"), ("c", 2, "Another")], "record_id string, author_position int, name string")
+    claims = spark.createDataFrame([("a", "doi", "10.5555/a"), ("d", "doi", "10.5555/d"), ("c", "doi", "10.5555/a")], "record_id string, scheme string, value string")
+    got = {(r.left_id, r.right_id): r.score for r in I.review_pairs(records, authors, claims).collect()}
+    ratio = I.title_ratio(titles["a"], titles["b"])
+    want = {("a", "b"): 0.7 * ratio + 0.2 + 0.1, ("b", "d"): 0.7 * I.title_ratio(titles["b"], titles["d"]) + 0.1 + 0.1}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
+    assert I.review_pairs(records.limit(0), authors, claims).count() == 0
+
+
+def test_whole_canonical_records_and_families(spark):
+    records = spark.createDataFrame([("a", "T", 2000, "V", None), ("b", "U", 2001, "W", "text"), ("c", None, None, None, "")], "record_id string, title string, publication_year int, venue string, abstract string")
+    groups = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "record_id string, root string")
+    authors = spark.createDataFrame([("a", 1, "X"), ("b", 2, "Z"), ("b", 1, "Y")], "record_id string, author_position int, name string")
+    claims = spark.createDataFrame([("a", "doi", "1"), ("b", "doi", "1"), ("b", "pmid", "2")], "record_id string, scheme string, value string")
+    sources = spark.createDataFrame([("a", "p", "1"), ("a", "p", "1"), ("b", "q", "2")], "record_id string, provider string, source_record_id string")
+    got = {r.record_id: r for r in I.merged_whole(records, groups, authors, claims, sources).collect()}
+    assert (got["a"].title, got["a"].abstract, got["a"].authors, got["a"].identifiers, got["a"].sources) == ("T", "text", ["Y", "Z"], ["doi=1", "pmid=2"], ["p:1", "q:2"]) and got["c"].authors is None
+    import hashlib
+
+    links = spark.createDataFrame([("m", "k"), ("l", "m"), ("z", None)], "a string, b string")
+    assert {tuple(r) for r in I.version_families(links, "a", "b").collect()} == {(x, "k", "review-family:" + hashlib.sha256(b"k\0l\0m").hexdigest()[:24]) for x in "klm"}
