@@ -78,13 +78,16 @@ def _o(*pairs: tuple[str, Column]) -> Column:
 
 
 _c = F.col
-_DATE = F.date_format("publication_date", "yyyy-MM-dd")
-_WORDS = F.split(F.regexp_replace(F.trim("abstract"), r"\s+", " "), " ")
+
+
+def _date() -> Column:
+    return F.date_format("publication_date", "yyyy-MM-dd")
 
 
 def _inverted() -> Column:
-    words = F.array_distinct(_WORDS)
-    at = F.transform(words, lambda w: F.filter(F.transform(_WORDS, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))
+    every = F.split(F.regexp_replace(F.trim("abstract"), r"\s+", " "), " ")
+    words = F.array_distinct(every)
+    at = F.transform(words, lambda w: F.filter(F.transform(every, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))
     return F.when(F.col("abstract").isNotNull(), F.map_from_arrays(words, at))
 
 
@@ -96,7 +99,7 @@ def source_openalex(spark: SparkSession, folder: str) -> DataFrame:
     """Works with inverted abstracts and nested authorships; numbers with a slash belong to other sources."""
     payload = _json(
         F.concat(F.lit("https://openalex.org/"), "sid").alias("id"), _c("title").alias("display_name"), _inverted().alias("abstract_inverted_index"),
-        _people(lambda a: _o(("author", _o(("id", F.lit(None).cast("string")), ("display_name", a["name"]), ("orcid", a["orcid"]))))).alias("authorships"), _DATE.alias("publication_date"), "publication_year",
+        _people(lambda a: _o(("author", _o(("id", F.lit(None).cast("string")), ("display_name", a["name"]), ("orcid", a["orcid"]))))).alias("authorships"), _date().alias("publication_date"), "publication_year",
         _c("work_type").alias("type"), F.transform("fields_of_study", lambda f: _o(("display_name", f))).alias("topics"), "language", _o(("is_oa", _c("open_access"))).alias("open_access"),
         _o(("landing_page_url", _c("landing_page_url")), ("pdf_url", _c("pdf_url")), ("source", _o(("display_name", _c("venue"))))).alias("primary_location"),
         _o(("doi", F.concat(F.lit("https://doi.org/"), "doi")), ("pmid", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.trim("pmid")))).alias("ids"), _c("cited").alias("cited_by_count"),
@@ -114,7 +117,7 @@ def source_semantic_scholar(spark: SparkSession, folder: str) -> DataFrame:
     venue = F.when(F.length("sid") % 2 == 0, F.to_json(_o(("name", _c("venue"))))).otherwise(F.to_json(F.array("venue"), {"ignoreNullFields": "false"}))
     shape = F.regexp_replace(F.regexp_replace(venue, r"^\[", ""), r"\]$", "")
     body = _json(
-        _c("sid").alias("paperId"), "title", "abstract", _people(lambda a: _o(("name", a["name"]), ("authorId", F.lit(None).cast("string")))).alias("authors"), _DATE.alias("publicationDate"), _c("publication_year").alias("year"),
+        _c("sid").alias("paperId"), "title", "abstract", _people(lambda a: _o(("name", a["name"]), ("authorId", F.lit(None).cast("string")))).alias("authors"), _date().alias("publicationDate"), _c("publication_year").alias("year"),
         F.when(_c("work_type").isNotNull(), F.array("work_type")).alias("publicationTypes"), _c("fields_of_study").alias("fieldsOfStudy"), _c("open_access").alias("isOpenAccess"), _o(("url", _c("pdf_url"))).alias("openAccessPdf"),
         _o(("DOI", _c("doi")), ("ArXiv", _c("arxiv")), ("PubMed", F.trim("pmid"))).alias("externalIds"), _c("cited").alias("citationCount"),
     )
@@ -155,7 +158,7 @@ def source_europe_pmc(spark: SparkSession, folder: str) -> DataFrame:
     links = F.filter(F.array(_o(("url", _c("landing_page_url")), ("documentStyle", F.lit("html"))), _o(("url", _c("pdf_url")), ("documentStyle", F.lit("pdf")))), lambda x: x["url"].isNotNull())
     single = lambda items: F.when(F.size(items) == 1, F.to_json(F.get(items, F.lit(0)))).otherwise(F.to_json(items))
     body = _json(
-        F.lit("med").alias("source"), _c("sid").alias("id"), F.trim("pmid").alias("pmid"), "doi", "title", _c("abstract").alias("abstractText"), _DATE.alias("firstPublicationDate"), _c("publication_year").cast("string").alias("pubYear"),
+        F.lit("med").alias("source"), _c("sid").alias("id"), F.trim("pmid").alias("pmid"), "doi", "title", _c("abstract").alias("abstractText"), _date().alias("firstPublicationDate"), _c("publication_year").cast("string").alias("pubYear"),
         _o(("pubType", _c("work_type"))).alias("pubTypeList"), _c("venue").alias("journalTitle"), "language", F.when(_c("open_access"), "Y").when(~_c("open_access"), "N").alias("isOpenAccess"), _c("cited").alias("citedByCount"),
     )
     payload = F.concat(F.lit('{"authorList":{"author":'), single(authors), F.lit('},"fullTextUrlList":{"fullTextUrl":'), single(links), F.lit("},"), F.substring(body, 2, 10_000_000))
@@ -182,7 +185,7 @@ def source_arxiv(spark: SparkSession, folder: str) -> DataFrame:
     number = F.concat(F.lit("2101."), F.right(F.concat(F.lit("00000"), F.regexp_replace("sid", r"\D", "")), F.lit(5)))
     payload = F.concat_ws(
         "", F.lit('<entry xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><id>http://arxiv.org/abs/'), number, F.lit("v3</id>"), tag("title", _c("title")), tag("summary", _c("abstract")),
-        tag("published", F.concat(_DATE, F.lit("T10:00:00Z"))), F.array_join(_people(lambda a: F.concat(F.lit("<author><name>"), _xml_text(a["name"]), F.lit("</name></author>"))), ""), link, topic, tag("arxiv:doi", _c("doi")), F.lit("</entry>"),
+        tag("published", F.concat(_date(), F.lit("T10:00:00Z"))), F.array_join(_people(lambda a: F.concat(F.lit("<author><name>"), _xml_text(a["name"]), F.lit("</name></author>"))), ""), link, topic, tag("arxiv:doi", _c("doi")), F.lit("</entry>"),
     )
     rows = base(spark, folder).select(payload.alias("payload"))
     return flat(M.arxiv(rows))
@@ -193,7 +196,7 @@ def source_arxiv(spark: SparkSession, folder: str) -> DataFrame:
     publication_year="coalesce(publication_year, year(publication_date))", work_type="lower(work_type)", venue="venue", landing_page_url="coalesce(landing_page_url, 'https://doi.org/' || doi)", identifiers="'doi=' || doi", citation_count="cited"))
 def source_datacite(spark: SparkSession, folder: str) -> DataFrame:
     attributes = _o(
-        ("doi", _c("doi")), ("url", _c("landing_page_url")), ("titles", F.array(_o(("title", F.lit(""))), _o(("title", _c("title"))))), ("creators", _people(lambda a: _o(("name", a["name"])))), ("published", _DATE), ("publicationYear", _c("publication_year")),
+        ("doi", _c("doi")), ("url", _c("landing_page_url")), ("titles", F.array(_o(("title", F.lit(""))), _o(("title", _c("title"))))), ("creators", _people(lambda a: _o(("name", a["name"])))), ("published", _date()), ("publicationYear", _c("publication_year")),
         ("descriptions", F.array(_o(("descriptionType", F.lit("Methods")), ("description", F.lit("x"))), _o(("descriptionType", F.lit("Abstract")), ("description", _c("abstract"))))), ("types", _o(("resourceTypeGeneral", _c("work_type")))), ("publisher", _c("venue")),
         ("citationCount", _c("cited")),
     )
@@ -237,7 +240,7 @@ def source_acl_anthology(spark: SparkSession, folder: str) -> DataFrame:
     tag = lambda before, c, after: F.when(c.isNotNull(), F.concat(F.lit(before), _xml_text(c), F.lit(after)))
     payload = F.concat_ws(
         "", F.lit('<modsCollection xmlns="http://www.loc.gov/mods/v3"><mods ID="x"><titleInfo><title>'), _xml_text(_c("title")), F.lit("</title></titleInfo>"), people, F.lit('<name type="personal"><namePart type="family">Ed</namePart>' + role("editor") + "</name>"),
-        tag("<originInfo><dateIssued>", _DATE, "</dateIssued></originInfo>"), tag("<language><languageTerm>", _c("language"), "</languageTerm></language>"), tag('<relatedItem type="host"><titleInfo><title>', _c("venue"), "</title></titleInfo></relatedItem>"),
+        tag("<originInfo><dateIssued>", _date(), "</dateIssued></originInfo>"), tag("<language><languageTerm>", _c("language"), "</languageTerm></language>"), tag('<relatedItem type="host"><titleInfo><title>', _c("venue"), "</title></titleInfo></relatedItem>"),
         tag('<identifier type="doi">', _c("doi"), "</identifier>"), F.lit("</mods></modsCollection>"),
     )
     return flat(M.acl_anthology(_payloads(spark, folder, payload)))
@@ -253,7 +256,7 @@ _ENDS = r"regexp_replace({0}, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '',
 def source_openaire(spark: SparkSession, folder: str) -> DataFrame:
     claim = lambda s, c: _o(("scheme", F.lit(s)), ("value", c))
     payload = _json(
-        _c("sid").alias("id"), _c("title").alias("mainTitle"), F.array("abstract").alias("descriptions"), _people(lambda a: _o(("fullName", a["name"]))).alias("authors"), F.coalesce(_DATE, _c("publication_year").cast("string")).alias("publicationDate"),
+        _c("sid").alias("id"), _c("title").alias("mainTitle"), F.array("abstract").alias("descriptions"), _people(lambda a: _o(("fullName", a["name"]))).alias("authors"), F.coalesce(_date(), _c("publication_year").cast("string")).alias("publicationDate"),
         F.array(_o(("type", _c("work_type")), ("urls", F.array(F.lit("ftp://x"), _c("landing_page_url"))))).alias("instances"), _o(("name", _c("venue"))).alias("container"), _o(("label", F.when(_c("open_access"), "Open Access").when(~_c("open_access"), "CLOSED"))).alias("bestAccessRight"),
         F.array(claim("DOI", _c("doi")), claim("pmid", _c("pmid")), claim("handle", F.lit("x"))).alias("pids"), _o(("citationImpact", _o(("citationCount", _c("cited"))))).alias("indicators"),
     )
@@ -280,7 +283,7 @@ def source_inspire(spark: SparkSession, folder: str) -> DataFrame:
     one = lambda n, c: F.array(_o((n, c)))
     metadata = _o(
         ("titles", one("title", _c("title"))), ("abstracts", one("value", _c("abstract"))), ("authors", _people(lambda a: _o(("full_name", a["name"])))), ("publication_info", F.array(_o(("year", _c("publication_year")), ("journal_title", _c("venue"))))),
-        ("earliest_date", _DATE), ("document_type", F.array("work_type")), ("dois", one("value", _c("doi"))), ("arxiv_eprints", one("value", _c("arxiv"))), ("citation_count", _c("cited")),
+        ("earliest_date", _date()), ("document_type", F.array("work_type")), ("dois", one("value", _c("doi"))), ("arxiv_eprints", one("value", _c("arxiv"))), ("citation_count", _c("cited")),
     )
     return flat(M.inspire(_payloads(spark, folder, _json(_c("sid").alias("id"), metadata.alias("metadata")))))
 
@@ -293,7 +296,7 @@ def source_opencitations(spark: SparkSession, folder: str) -> DataFrame:
     rows = base(spark, folder).withColumn("d", T.doi(_c("doi"))).where("d IS NOT NULL")
     payload = _json(
         F.concat_ws(" ", F.concat(F.lit("doi:"), "d"), F.concat(F.lit("pmid:"), F.trim("pmid"))).alias("id"), "title", F.array_join(_people(lambda a: F.concat(F.replace(a["name"], F.lit("["), F.lit("(")), F.lit(" [omid:ra/1]"))), "; ").alias("author"),
-        F.coalesce(_DATE, _c("publication_year").cast("string")).alias("pub_date"), _c("work_type").alias("type"), F.concat("venue", F.lit(" [omid:br/2]")).alias("venue"),
+        F.coalesce(_date(), _c("publication_year").cast("string")).alias("pub_date"), _c("work_type").alias("type"), F.concat("venue", F.lit(" [omid:br/2]")).alias("venue"),
     )
     return flat(M.opencitations(rows.select(payload.alias("payload"))))
 
