@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variant_pairs(load(spark, folder, "authors"), load(spark, folder, "papers"))
 
 
+def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The entity of every row: what ``p1_found`` lists as pairs, linear in the rows."""
+    return variants.entities(load(spark, folder, "authors"), load(spark, folder, "papers")).select(F.col("id").alias("author_id"), "group_id")
+
+
 def _scanned(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, str, str]]:
     return [
         ("raw_text", load(spark, folder, "extracted_references"), "reference_key", "raw_text"),
@@ -121,7 +126,7 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+    return {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 
 
 def oracle_sql() -> dict[str, str]:
