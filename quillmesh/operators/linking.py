@@ -66,6 +66,7 @@ def decided(scores: DataFrame, policy: Policy = Policy()) -> DataFrame:
     w = Window.partitionBy("entry").orderBy(F.desc("by_id"), F.desc("score"), "candidate")
     ids = F.sum(F.col("by_id").cast("int")).over(Window.partitionBy("entry"))
     top = scores.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).withColumn("ids", ids).where("n = 1")
+    # fixed values: the names of the reasons
     reason = (
         F.when(F.col("ids") == 1, "unique_strong_identifier").when(F.col("ids") > 1, "conflicting_strong_identifier_candidates")
         .when(F.col("score") < policy.threshold, "top_score_below_auto_match_threshold").when(F.round(F.col("score") - F.col("second"), 6) < policy.margin, "top_candidates_within_minimum_margin").otherwise("score_and_margin_satisfied")

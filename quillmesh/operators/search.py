@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -84,6 +85,17 @@ class Node:
         if not leaf and self.field != "all":
             raise ValueError("only terms and phrases have a field")
 
+    @classmethod
+    def from_json(cls, text: str | dict) -> Node:
+        """A tree written as ``{"operator", "value", "field", "children"}``; other keys are refused."""
+        given = json.loads(text) if isinstance(text, str) else text
+        if not isinstance(given, dict) or set(given) - {"operator", "value", "field", "children"} or "operator" not in given:
+            raise ValueError("a node has an operator, and may have value, field and children")
+        kind, field = str(given["operator"]).lower(), str(given.get("field") or "all").lower()
+        if kind not in ("and", "or", "not", "term", "phrase") or field not in ("all", "title", "abstract", "author", "venue", "field"):
+            raise ValueError(f"no such operator or field: {kind}, {field}")
+        return cls(kind, given.get("value"), field, [cls.from_json(c) for c in given.get("children") or []])
+
     def condition(self) -> Column:
         """True or false, never null, so that NOT of a missing value holds."""
         if self.kind == "and":

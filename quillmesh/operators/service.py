@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,7 @@ from quillmesh.functions.text import stable_id, strong_key
 from quillmesh.operators import linking as L
 from quillmesh.operators import search as S
 from quillmesh.session import cut, ship
+from quillmesh.sources.mappers import Source
 
 
 def search(records: DataFrame, ranked: DataFrame, groups: DataFrame, text: str, filters: S.Filters, limit: int, sort: str = "relevance") -> DataFrame:
@@ -45,6 +46,12 @@ def search(records: DataFrame, ranked: DataFrame, groups: DataFrame, text: str,
     return top.select(F.row_number().over(Window.orderBy(*by)).cast("bigint").alias("rank"), "record_id", "score")  # over the rows of the result
 
 
+def plan_search(filters: S.Filters, sources: Iterable[Source]) -> list[tuple[str, str, str]]:
+    """``source, condition, evaluated`` for each condition in use, the text always: by the source (``provider``), here (``local``), or by neither (``unsupported``)."""
+    used = ["text", *[f for f, v in vars(filters).items() if v not in (None, (), 0)]]
+    return [(s.name, f, "provider" if f in s.filters else "unsupported" if f in s.unsupported else "local") for s in sources for f in used]
+
+
 def resolve(identifiers: DataFrame, claims: DataFrame, groups: DataFrame) -> DataFrame:
     """``asked, root, records``: for each identifier (``scheme, value``) the works that claim it, and how many of their records do."""
     asked = identifiers.select(strong_key(F.col("scheme"), F.col("value")).alias("asked")).where("asked IS NOT NULL").distinct()

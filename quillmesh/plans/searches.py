@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as X
 from quillmesh.operators import search as S
+from quillmesh.operators.service import plan_search
 from quillmesh.plans.registry import query
 from quillmesh.session import load, ship
+from quillmesh.sources.mappers import SOURCES
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,10 +190,20 @@ def overall_status(spark: SparkSession, folder: str) -> DataFrame:
     return S.overall_status(reports, "subject_record_id")
 
 
-@query("filter_execution_plan")
+_USED = ("text", "title", "author", "year_from", "open_access")
+#: Conditions that each source evaluates itself (``p``), leaves to us (``l``) or can't (``u``), in the order above.
+_PUSHED = {
+    "openalex": "ppppp", "semantic_scholar": "pllpp", "crossref": "plppu", "europe_pmc": "plppp", "arxiv": "plppu", "datacite": "ppppu", "dblp": "pllll", "acl_anthology": "pllll",
+    "openaire": "ppppl", "openreview": "pllll", "inspire": "pllll", "opencitations": "ullll", "google_scholar_serpapi": "plppl", "ads": "pllll",
+}
+_STATE = {"p": "provider", "l": "local", "u": "unsupported"}
+
+
+@query("filter_execution_plan", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{f}', '{_STATE[c]}')" for s, x in _PUSHED.items() for f, c in zip(_USED, x, strict=True)) + ") t(source, condition, evaluated)")
 def filter_execution_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each condition of a search runs, for every source."""
     f = S.Filters(title="networks", year_from=2010, open_access=True, author="a")
-    return spark.createDataFrame(f.plan(pushed=("title", "year_from")), "filter string, evaluated string")
+    return spark.createDataFrame(plan_search(f, SOURCES), "source string, condition string, evaluated string")
 
 
 @query(

@@ -9,7 +9,7 @@ record.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -465,6 +465,9 @@ class Registry:
     def names(self) -> list[str]:
         return list(self._sources)
 
+    def __iter__(self) -> Iterator[Source]:
+        return iter(self._sources.values())
+
     def records(self, payloads: DataFrame, sources: Sequence[str] | None = None, provider: str = "provider", column: str = "payload") -> DataFrame:
         """The records of ``sources`` (all registered ones) in one table of payloads, told apart by ``provider``, a column to partition the table by."""
         parts = [self[name].mapper(payloads.where(F.col(provider) == name), column) for name in (sources or self.names())]

@@ -67,3 +67,18 @@ def test_rrf_overlaps_status(spark):
     reports = [("a", "skipped", 0), ("b", "complete", 2), ("b", "partial", 0), ("c", "complete", 0), ("c", "empty", 0), ("d", "failed", 0), ("d", "throttled", 0), ("e", "failed", 0), ("f", "complete", 1), ("f", "failed", 0)]
     got = S.overall_status(spark.createDataFrame(reports, "k string, status string, results int"), "k").collect()
     assert {r.k: r.status for r in got} == {"a": "degraded", "b": "partial", "c": "empty", "d": "throttled", "e": "failed", "f": "partial"}
+
+
+def test_trees_from_json_and_plans():
+    import pytest
+
+    from quillmesh.operators.service import plan_search
+    from quillmesh.sources.mappers import SOURCES
+
+    tree = S.Node.from_json('{"operator": "AND", "children": [{"operator": "phrase", "field": "title", "value": "dry moss"}, {"operator": "not", "children": [{"operator": "term", "value": "kiln"}]}]}')
+    assert (tree.kind, tree.children[0].field, tree.children[1].children[0].value) == ("and", "title", "kiln")
+    for bad in ('{"operator": "xor"}', '{"value": "x"}', '{"operator": "term", "value": "x", "boost": 2}', '{"operator": "and", "children": []}', "[]"):
+        with pytest.raises(ValueError):
+            S.Node.from_json(bad)
+    plan = {(s, f): e for s, f, e in plan_search(S.Filters(year_from=2000, open_access=True), SOURCES)}
+    assert plan["openalex", "year_from"] == "provider" and plan["dblp", "year_from"] == "local" and plan["arxiv", "open_access"] == "unsupported" and plan["opencitations", "text"] == "unsupported"
