@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.skew import lookup_join
@@ -207,10 +207,19 @@ def version_families(links: DataFrame, a: str, b: str) -> DataFrame:
     return lookup_join(found, family, "root", found.count(), "inner").select("record_id", "root", "family")
 
 
-def author_similarity(a, b) -> float:
+#: The schemes of strong keys, a bit each.
+SCHEME_BITS = {"doi": 1, "arxiv": 2, "pmid": 4, "pmcid": 8}
+
+
+def _year_agreement(a: Column, b: Column) -> Column:
+    gap = F.abs(a - b)
+    return F.when(gap == 0, 1.0).when(gap == 1, 0.5).when(gap > 1, 0.0).otherwise(0.5)
+
+
+def author_similarity(a: Column, b: Column) -> Column:
     """Jaccard of two sets of names; a half where one is empty."""
-    x, y = set() if a is None else set(a), set() if b is None else set(b)
-    return len(x & y) / len(x | y) if x and y else 0.5
+    shared, united = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when((F.size(F.coalesce(a, F.array())) > 0) & (F.size(F.coalesce(b, F.array())) > 0), shared / united).otherwise(0.5)
 
 
 def review_pairs(records: DataFrame, authors: DataFrame, claims: DataFrame, least: float = 0.75, score: float = 0.82) -> DataFrame:
@@ -219,32 +228,55 @@ def review_pairs(records: DataFrame, authors: DataFrame, claims: DataFrame, leas
     Candidates share the rarest two, the first and third, or the second and
     third rarest of the title words that stand in more than one title, so a
     misspelt word costs none. Seven parts of the score are the titles' ratio,
-    two the authors', one the years'. Pairs that share a strong key or have
-    unlike ones in a scheme are decided elsewhere.
+    two the authors', one the years'. Pairs with strong keys of one scheme
+    are decided elsewhere, whether these are alike or not.
+
+    What can't reach the score is never paired: without a common name, both
+    sides having names, a pair has at most 0.8, so the names are part of the
+    keys of those that have any; the schemes and the best score that years
+    and names allow are looked at inside the join. Pairs with a side without
+    names share the words only.
     """
     ship(records.sparkSession)
     names = authors.where("name IS NOT NULL").groupBy("record_id").agg(F.collect_set(casefold(normal("name"))).alias("names"))
-    sets = keys(claims).groupBy("record_id", "scheme").agg(F.sort_array(F.collect_set("k")).alias("ks")).groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("scheme", "ks"))).alias("strong"))
+    bit = F.coalesce(*[F.when(F.col("scheme") == s, b) for s, b in SCHEME_BITS.items()])
+    held = keys(claims).groupBy("record_id").agg(F.bit_or(bit).alias("schemes"))
     year = F.coalesce("publication_year", F.year("publication_date")).alias("y")
-    rows = cut(records.where("title IS NOT NULL").select("record_id", "title", year).join(names, "record_id", "left").join(sets, "record_id", "left"), "titles")
-    words = rows.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
+    rows = records.where("title IS NOT NULL").select("record_id", "title", year).join(names, "record_id", "left").join(held, "record_id", "left")
+    rows = cut(rows.select("record_id", "title", "y", "names", F.coalesce("schemes", F.lit(0)).alias("schemes"), F.monotonically_increasing_id().alias("i")), "titles")
+    words = rows.select("i", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
     freq = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    rare = words.join(freq, "w").groupBy("record_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 3).alias("r"))
+    rare = words.join(freq, "w").groupBy("i").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 3).alias("r"))
     two = "concat_ws(' ', sort_array(array(get(r,{0}).w, get(r,{1}).w)))"
-    key = rare.select("record_id", F.explode(F.expr(f"array_distinct(array({two.format(0, 1)}, {two.format(0, 2)}, {two.format(1, 2)}))")).alias("k")).where("k <> ''")
-    pairs = key.withColumnRenamed("record_id", "left_id").join(key.withColumnRenamed("record_id", "right_id"), "k").where("left_id < right_id").select("left_id", "right_id").distinct()
-    both = pairs.join(rows.toDF("left_id", "lt", "ly", "la", "ls"), "left_id").join(rows.toDF("right_id", "rt", "ry", "ra", "rs"), "right_id")
-    both = both.where(F.least(F.length("lt"), F.length("rt")) >= 0.6 * F.greatest(F.length("lt"), F.length("rt")))
-    shared = F.array_intersect(F.map_keys(F.coalesce("ls", F.create_map().cast("map<string,array<string>>"))), F.map_keys(F.coalesce("rs", F.create_map().cast("map<string,array<string>>"))))
-    both = both.where(~F.exists(shared, lambda s: (F.col("ls")[s] != F.col("rs")[s]) | F.arrays_overlap(F.col("ls")[s], F.col("rs")[s])))
-
-    def judge(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for a, b, x, y in parts:
-            yield pd.DataFrame({"ratio": [title_ratio(p, q) for p, q in zip(a, b, strict=True)], "authors": [author_similarity(p, q) for p, q in zip(x, y, strict=True)]})
-
-    judge.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
-    gap = F.abs(F.col("ly") - F.col("ry"))
-    near = F.when(gap == 0, 1.0).when(gap == 1, 0.5).when(gap > 1, 0.0).otherwise(0.5)
-    out = both.withColumn("j", F.pandas_udf(judge, "struct<ratio:double,authors:double>")("lt", "rt", "la", "ra")).where(F.col("j.ratio") >= least)
-    out = out.withColumn("score", 0.7 * F.col("j.ratio") + 0.2 * F.col("j.authors") + 0.1 * near).where(F.col("score") >= score)
-    return out.select("left_id", "right_id", F.round("j.ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
+    ks = F.expr(f"transform(filter(array_distinct(array({two.format(0, 1)}, {two.format(0, 2)}, {two.format(1, 2)})), k -> k <> ''), k -> xxhash64(k))")
+    own = rows.select("i", "y", "schemes", F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda x: F.xxhash64(x)).alias("ns"))
+    traits = cut(rare.select("i", ks.alias("ks")).join(own, "i"), "traits")
+
+    def paired(left: DataFrame, right: DataFrame, authors_at_most: float) -> DataFrame:
+        both = left.select("k", F.col("i").alias("a"), F.col("y").alias("ya"), F.col("schemes").alias("sa")).join(right.select("k", F.col("i").alias("b"), F.col("y").alias("yb"), F.col("schemes").alias("sb")), "k")
+        may = 0.7 + 0.2 * authors_at_most + 0.1 * _year_agreement(F.col("ya"), F.col("yb")) >= score - 1e-9
+        return both.where((F.col("sa").bitwiseAND(F.col("sb")) == 0) & may & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+
+    plain = traits.select("i", "y", "schemes", F.size("ns").alias("named"), F.explode("ks").alias("k"))
+    if score > 0.8 + 1e-9:
+        known = traits.select("i", "y", "schemes", "ks", F.explode("ns").alias("n")).select("i", "y", "schemes", "n", F.explode("ks").alias("k")).select("i", "y", "schemes", F.xxhash64("k", "n").alias("k"))
+        pairs = paired(known, known, 1.0).unionAll(paired(plain.where("named = 0"), plain, 0.5)).distinct()
+    else:
+        pairs = paired(plain, plain, 1.0).distinct()
+    both = pairs.join(rows.toDF("p", "pt", "py", "pa", "ps", "a").drop("ps"), "a").join(rows.toDF("q", "qt", "qy", "qa", "qs", "b").drop("qs"), "b").where("p <> q")
+    both = both.where(F.least(F.length("pt"), F.length("qt")) >= 0.6 * F.greatest(F.length("pt"), F.length("qt")))
+    rest = 0.2 * author_similarity(F.col("pa"), F.col("qa")) + 0.1 * _year_agreement(F.col("py"), F.col("qy"))
+    both = both.where(0.7 + rest >= score - 1e-9)
+    first = F.col("p") < F.col("q")
+    # the ratio isn't symmetric: the earlier record is the left one
+    side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    both = both.select(side("p", "q").alias("left_id"), side("q", "p").alias("right_id"), side("pt", "qt").alias("lt"), side("qt", "pt").alias("rt"), author_similarity(F.col("pa"), F.col("qa")).alias("authors"), _year_agreement(F.col("py"), F.col("qy")).alias("near"))
+
+    def judge(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            yield pd.Series([title_ratio(p, q) for p, q in zip(a, b, strict=True)], dtype="float64")
+
+    judge.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    out = both.withColumn("j", F.pandas_udf(judge, "double")("lt", "rt")).where(F.col("j") >= least)
+    out = out.withColumn("score", 0.7 * F.col("j") + 0.2 * F.col("authors") + 0.1 * F.col("near")).where(F.col("score") >= score)
+    return out.select("left_id", "right_id", F.round("j", 6).alias("ratio"), F.round("score", 6).alias("score"))

@@ -124,6 +124,32 @@ def test_review_pairs_use_authors_and_leave_decided_pairs(spark):
     assert I.review_pairs(records.limit(0), authors, claims).count() == 0
 
 
+def shuffled(spark):
+    """Rows written to shuffles so far, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    seen = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {seen.apply(k).stageId(): seen.apply(k).shuffleWriteRecords() for k in range(seen.size())}
+
+
+def test_review_pairs_that_cannot_reach_the_score_are_not_made(spark):
+    """Rows of one subject are as many pairs as their square; those of unlike authors, or with keys of one scheme, must not be written anywhere."""
+    n = 300
+    records = spark.createDataFrame([(f"r{k:03}", "Drying of moss in winter", 2000, None) for k in range(n)], "record_id string, title string, publication_year int, publication_date date")
+    authors = spark.createDataFrame([(f"r{k:03}", 1, f"Author {k // 2 if k < 20 else k}") for k in range(n - 1)], "record_id string, author_position int, name string")
+    claims = spark.createDataFrame([(f"r{k:03}", "pmid", str(k)) for k in (0, 1)], "record_id string, scheme string, value string")
+    old = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables too large to broadcast
+    try:
+        got = {(r.left_id, r.right_id): r.score for r in I.review_pairs(records, authors, claims).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(f"r{k:03}", f"r{k + 1:03}"): 1.0 for k in range(2, 20, 2)} | {(f"r{k:03}", f"r{n - 1}"): 0.9 for k in range(n - 1)}
+    assert got == want
+    assert sum(v for k, v in shuffled(spark).items() if k not in old) < n * (n - 1) // 4
+    assert I.review_pairs(records.limit(30), authors, claims, score=0.8 - 1e-6).count() == 30 * 29 // 2 - 1
+
+
 def test_whole_canonical_records_and_families(spark):
     records = spark.createDataFrame([("a", "T", 2000, "V", None), ("b", "U", 2001, "W", "text"), ("c", None, None, None, "")], "record_id string, title string, publication_year int, venue string, abstract string")
     groups = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "record_id string, root string")
